@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, splitting, tokens
+from . import mixing, splitting, terms, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _terms(spark: SparkSession, d: str, tbl: str) -> DataFrame:
+    return terms.marked(_t(spark, d, tbl)).select(F.lit(tbl).alias("tbl"), "term", "occurrences", "records", "mark")
+
+
+def p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of documents and comments with its occurrences, records and mark."""
+    return _terms(spark, d, "documents").unionByName(_terms(spark, d, "youtube_comments"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that are too rare or too common."""
+    return p4_terms(spark, d).filter("mark is not null").select("tbl", "term", "mark")
+
+
 def p5_token_budget(spark: SparkSession, d: str) -> DataFrame:
     """Token totals of documents by source, language and domain, and of comments by channel."""
     docs = tokens.token_budget(_t(spark, d, "documents"), ["source", "lang", "domain"])
@@ -48,7 +62,18 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_token_budget, p8_ids, p9_mix, p9_shares, p10_pieces)
+    f.__name__: f for f in (p4_found, p4_terms, p5_token_budget, p8_ids, p9_mix, p9_shares, p10_pieces)
 }
 
-ORACLES: dict[str, str] = {}
+_TERMS = """
+WITH t AS (SELECT {i} AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: NOT regexp_full_match(x, '\\p{{Nd}}+'))) AS term FROM {t}),
+n AS (SELECT count(text) AS texts FROM {t})
+SELECT '{t}' AS tbl, term, count(*)::BIGINT AS occurrences, count(DISTINCT id)::BIGINT AS records,
+       CASE WHEN count(DISTINCT id) = 1 THEN 'rare' WHEN count(DISTINCT id) > 0.05 * any_value(texts) THEN 'common' END AS mark
+FROM t, n GROUP BY term"""
+_ALL_TERMS = " UNION ALL ".join(f"SELECT * FROM ({_TERMS.format(t=t, i=i)})" for t, i in (("documents", "doc_id"), ("youtube_comments", "row_id")))
+
+ORACLES: dict[str, str] = {
+    "p4_terms": _ALL_TERMS,
+    "p4_found": f"SELECT tbl, term, mark FROM ({_ALL_TERMS}) WHERE mark IS NOT NULL",
+}
