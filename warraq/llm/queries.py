@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, splitting, terms, tokens
+from . import mixing, pii, splitting, terms, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+TABLES = {"documents": "doc_id", "youtube_comments": "row_id", "forum_posts": "row_id"}
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records and kinds of personal information in their texts."""
+    names = pii.read_names(_t(spark, d, "given_names"))
+    # A record is a row, so kinds are made distinct by row where they are found.
+    parts = [pii.kinds(_t(spark, d, t), i, "text", names).select(F.lit(t).alias("tbl"), F.col("rec_id").cast("bigint").alias("rec_id"), "kind") for t, i in TABLES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that hold personal information, with typed placeholders in its place."""
+    names = pii.read_names(_t(spark, d, "given_names"))
+    parts = []
+    for t, i in TABLES.items():
+        df = _t(spark, d, t).filter("text is not null").select(F.lit(t).alias("tbl"), F.col(i).alias("rec_id"), "text", pii.redact(F.col("text"), names).alias("redacted"))
+        parts.append(df.filter("text <> redacted").drop("text"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _terms(spark: SparkSession, d: str, tbl: str) -> DataFrame:
     return terms.marked(_t(spark, d, tbl)).select(F.lit(tbl).alias("tbl"), "term", "occurrences", "records", "mark")
 
@@ -62,7 +83,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_terms, p5_token_budget, p8_ids, p9_mix, p9_shares, p10_pieces)
+    f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_terms, p5_token_budget, p8_ids, p9_mix, p9_shares, p10_pieces)
 }
 
 _TERMS = """
