@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, splitting, terms, tokens
+from . import mixing, pii, residue, splitting, terms, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,6 +35,21 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that are residue instead of what a person wrote."""
+    ratios = residue.fit(residue.read_prose(_t(spark, d, "lang_samples")))
+    parts = [
+        residue.flag(_t(spark, d, t), TABLES[t], "text", ratios).select(F.lit(t).alias("tbl"), F.col("rec_id").cast("bigint").alias("rec_id")) for t in ("documents", "forum_posts")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without the residue."""
+    ratios = residue.fit(residue.read_prose(_t(spark, d, "lang_samples")))
+    return residue.exclude(_t(spark, d, "documents").select("doc_id", "source", "text"), "text", ratios)
+
+
 def _terms(spark: SparkSession, d: str, tbl: str) -> DataFrame:
     return terms.marked(_t(spark, d, tbl)).select(F.lit(tbl).alias("tbl"), "term", "occurrences", "records", "mark")
 
@@ -83,7 +98,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_terms, p5_token_budget, p8_ids, p9_mix, p9_shares, p10_pieces)
+    f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_clean_documents, p4_found, p4_terms, p5_token_budget, p8_ids, p9_mix, p9_shares, p10_pieces)
 }
 
 _TERMS = """
