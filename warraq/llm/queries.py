@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, residue, splitting, terms, tokens
+from . import language, mixing, pii, residue, splitting, terms, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -97,8 +97,27 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(_t(spark, d, "documents"), splitting.read_limits(_t(spark, d, "split_limits")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with a missing or wrong label, and the lines of mixed documents, with the right language."""
+    samples = _t(spark, d, "lang_samples")
+    profiles = language.fit(language.read_samples(samples))
+    ratios = residue.fit(residue.read_prose(samples))
+    docs = language.relabelled(_t(spark, d, "documents"), "doc_id", "text", "lang", profiles, ratios)
+    comments = language.relabelled(_t(spark, d, "youtube_comments"), "row_id", "text", "lang_hint", profiles, lines=False)
+    parts = [x.select(F.lit(t).alias("tbl"), F.col("rec_id").cast("bigint").alias("rec_id"), "seg_no", "lang") for t, x in (("documents", docs), ("youtube_comments", comments))]
+    return parts[0].unionByName(parts[1])
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every document and comment, and of the lines of mixed documents."""
+    profiles = language.fit(language.read_samples(_t(spark, d, "lang_samples")))
+    docs = language.segments(_t(spark, d, "documents"), "doc_id", "text", profiles)
+    comments = language.segments(_t(spark, d, "youtube_comments"), "row_id", "text", profiles, lines=False)
+    return docs.withColumn("tbl", F.lit("documents")).unionByName(comments.withColumn("tbl", F.lit("youtube_comments"))).select("tbl", "rec_id", "seg_no", "lang", "confidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_clean_documents, p4_found, p4_terms, p5_token_budget, p8_ids, p9_mix, p9_shares, p10_pieces)
+    f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_clean_documents, p4_found, p4_terms, p5_token_budget, p7_found, p7_languages, p8_ids, p9_mix, p9_shares, p10_pieces)
 }
 
 _TERMS = """
