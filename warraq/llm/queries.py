@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, pii, residue, splitting, terms, tokens
+from ..operators.common import stored
+from . import history, language, mixing, pii, residue, splitting, terms, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,6 +36,25 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of batches 1 to 9 that repeat a row accepted before them, with the first accepted one.
+
+    The forest is made of batch 0 once; the nine batches are one delivery in arrival order, which
+    decides every row as nine deliveries would.
+    """
+    spaces = {"documents": ("doc_id", F.col("source") == "djelfa_info"), "youtube_comments": ("row_id", F.lit(False))}
+    rows = None
+    for space, (t, (i, post)) in enumerate(spaces.items()):
+        part = _t(spark, d, t).select(history.order_of(space, F.col("batch_no"), F.col(i)).alias("ord"), F.coalesce(post, F.lit(False)).alias("post"), "text")
+        rows = part if rows is None else rows.unionByName(part)
+    batch = lambda c: F.shiftrightunsigned(c, 44).bitwiseAND(F.lit(4095))
+    forest = history.build(spark, rows.filter(batch(F.col("ord")) == 0))
+    found = stored(history.admit(forest, rows, lambda c: batch(c) > 0, commit=False), "p2")
+    forest.drop()
+    names = F.element_at(F.array(*[F.lit(t) for t in spaces]), history.space_of(F.col("dup")) + 1)
+    return found.select(names.alias("tbl"), history.row_of(F.col("kept")).alias("kept_id"), history.row_of(F.col("dup")).alias("dup_id"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that are residue instead of what a person wrote."""
     ratios = residue.fit(residue.read_prose(_t(spark, d, "lang_samples")))
@@ -117,7 +137,7 @@ def p7_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_clean_documents, p4_found, p4_terms, p5_token_budget, p7_found, p7_languages, p8_ids, p9_mix, p9_shares, p10_pieces)
+    f.__name__: f for f in (p1_found, p1_redacted, p2_found, p3_found, p3_clean_documents, p4_found, p4_terms, p5_token_budget, p7_found, p7_languages, p8_ids, p9_mix, p9_shares, p10_pieces)
 }
 
 _TERMS = """
