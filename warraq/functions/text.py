@@ -193,7 +193,11 @@ def script_ratio_bucket(c: Column, low: float = 0.15, high: float = 0.85) -> Col
 def class_sizes(c: Column) -> dict[str, Column]:
     """Token counts by ``token_class`` without exploding."""
     w = words(c)
-    return {k: F.size(F.filter(w, lambda x, k=k: token_class(x) == k)).cast("bigint") for k in ("arabic", "latin", "mixed", "digits_symbols")}
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter(w, lambda x: token_class(x) == kind)).cast("bigint")
+
+    return {kind: of(kind) for kind in ("arabic", "latin", "mixed", "digits_symbols")}
 
 
 def document_script(c: Column) -> Column:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hot
+from . import hot, profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (hot,)
+_MODULES = (profile, hot)
 
 
 def queries() -> dict[str, Query]:
