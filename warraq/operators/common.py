@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,3 +47,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path made by ``scratch``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
