@@ -34,11 +34,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_comment_texts, clean_post_texts
-from ..operators.common import drop_path, scratch, spread, stored
+from ..operators.common import drop_path, release, scratch, spread, stored
 
 TREES = 12
 #: Bytes of a label; the first ``BASE`` route an entry, the others narrow a look-up.
@@ -257,21 +258,27 @@ def verified(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, le
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(normal(b.column(2).to_pylist(), b.column(1).to_pylist(), least), pa.string())], names=["ord", "t"])
+            # Packed for the joins, which send a text once for each of its pairs.
+            pack = zstandard.ZstdCompressor(level=3).compress
+            texts = normal(b.column(2).to_pylist(), b.column(1).to_pylist(), least)
+            packed = [pack(t.encode("utf-8", "surrogatepass")) if t is not None else None for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["ord", "t"])
 
-    texts = rows.select("ord", "post", "text").filter("text is not null").join(ids, "ord", "left_semi").mapInArrow(prepare, "ord bigint, t string")
+    texts = rows.select("ord", "post", "text").filter("text is not null").join(ids, "ord", "left_semi").mapInArrow(prepare, "ord bigint, t binary")
     both = pairs.join(texts.select(F.col("ord").alias("dup"), F.col("t").alias("a")), "dup").join(texts.select(F.col("ord").alias("kept"), F.col("t").alias("b")), "kept")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             hit, last, own = [], None, frozenset()
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if x != last:
-                    last, own = x, shingles(x)
+            # Pairs come sorted by the kept text.
+            for x, y in zip(b.column(3).to_pylist(), b.column(2).to_pylist()):
                 if x == y:
                     hit.append(True)
                     continue
-                other = shingles(y)
+                if x != last:
+                    last, own = x, shingles(unpack(x).decode("utf-8", "surrogatepass"))
+                other = shingles(unpack(y).decode("utf-8", "surrogatepass"))
                 common = len(own & other)
                 hit.append(common >= threshold * (len(own) + len(other) - common))
             yield b.select([0, 1]).filter(pa.array(hit, pa.bool_()))
@@ -328,16 +335,18 @@ def admit(forest: Forest, rows: DataFrame, is_new: Callable[[Column], Column], t
     """
     spark = forest.spark
     signed = stored(sign(rows.filter(is_new(F.col("ord"))), least), "signed")
-    texts = stored(_distinct_texts(signed), "texts")
-    pending = Forest.create(spark, forest.buckets).append(texts)
+    pending = Forest.create(spark, forest.buckets).append(_distinct_texts(signed))
     depth = depth_for(recall, threshold)
     new = pending.entries()
-    pairs = candidates(new, forest.entries(), depth, threshold).union(candidates(new, new, depth, threshold))
-    edges = stored(verified(stored(pairs, "pairs"), rows, threshold, least), "edges")
+    pairs = stored(candidates(new, forest.entries(), depth, threshold).union(candidates(new, new, depth, threshold)), "pairs")
+    pending.drop()
+    release(spark)
+    edges = stored(verified(pairs, rows, threshold, least), "edges")
+    release(spark)
     rejected = stored(resolve(edges, is_new), "rejected")
     if commit:
-        forest.append(texts.join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti"))
-    pending.drop()
+        forest.append(_distinct_texts(signed).join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti"))
+    texts = signed.groupBy(space_of(F.col("ord")).alias("space"), "h1", "h2").agg(F.min("ord").alias("ord"))
     # Copies get their text's result; of an accepted text every later copy repeats the first.
     fate = texts.select("space", "h1", "h2", F.col("ord").alias("first")).join(rejected.select(F.col("dup").alias("first"), "kept"), "first", "left")
     own = signed.select("ord", "h1", "h2", space_of(F.col("ord")).alias("space"))
