@@ -50,11 +50,15 @@ RECALL = 0.995
 LEAST = 60
 #: Sketch bits that may differ; at the threshold 6.4 of 64 do on average, more than this for one pair in 10^5.
 SKETCH_BITS = 18
+#: Min-hash functions beyond the labels; four bits of each and of the labels' are compared before texts are.
+EXTRA = 64
+#: Of the 136 that must agree: 110 do on average at the threshold, fewer than this for one pair in 10^5.
+AGREE = 90
 #: Ids of candidates up to this many are broadcast (16 MB), more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 _WS = re.compile(r"\s+")
-_ODD = np.random.default_rng(20240229).integers(1, 1 << 31, size=(2, TREES * LABEL), dtype=np.uint32)
+_ODD = np.random.default_rng(20240229).integers(1, 1 << 31, size=(2, TREES * LABEL + EXTRA), dtype=np.uint32)
 _MUL, _XOR = _ODD[0] * np.uint32(2) + np.uint32(1), _ODD[1]
 
 
@@ -83,8 +87,8 @@ def shingles(text: str) -> frozenset[str]:
     return frozenset(text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)) if len(text) > SHINGLE else frozenset((text,) if text else ())
 
 
-def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingles, labels as int64 [texts, TREES], sketches as int64) of texts of at least a shingle."""
+def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles, labels [texts, TREES], sketches, four bits of every function [texts, 9]) of texts of at least a shingle."""
     lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     ends = np.cumsum(lens)
@@ -104,9 +108,9 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
     x = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    least = np.empty((TREES * LABEL, len(texts)), dtype=np.uint32)
+    least = np.empty((TREES * LABEL + EXTRA, len(texts)), dtype=np.uint32)
     buf = np.empty_like(x)
-    for k in range(TREES * LABEL):
+    for k in range(TREES * LABEL + EXTRA):
         np.bitwise_xor(x, _XOR[k], out=buf)
         np.multiply(buf, _MUL[k], out=buf)
         np.minimum.reduceat(buf, starts, out=least[k])
@@ -121,10 +125,14 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sketch = np.zeros(len(texts), dtype=np.uint64)
     for k in range(64):
         sketch |= ((mixed[k] >> np.uint32(9)) & np.uint32(1)).astype(np.uint64) << np.uint64(k)
-    return sizes, labels, sketch.view(np.int64)
+    fours = (mixed >> np.uint32(20) & np.uint32(15)).astype(np.uint64)
+    packed = np.zeros((len(texts), -(-len(fours) // 16)), dtype=np.uint64)
+    for k, four in enumerate(fours):
+        packed[:, k // 16] |= four << np.uint64(4 * (k % 16))
+    return sizes, labels, sketch.view(np.int64), packed.view(np.int64)
 
 
-_SIGNED = "ord bigint, h1 bigint, h2 bigint, n int, labels array<bigint>, sketch bigint"
+_SIGNED = "ord bigint, h1 bigint, h2 bigint, n int, labels array<bigint>, sketch bigint, fours array<bigint>"
 
 
 def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
@@ -143,7 +151,7 @@ def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
                     size += len(texts[has[at]])
                     at += 1
                 own = [texts[k] for k in part]
-                n, labels, sketch = signatures(own)
+                n, labels, sketch, fours = signatures(own)
                 digest = np.array([divmod(xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass")), 1 << 64) for t in own], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -153,8 +161,9 @@ def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, labels.size + 1, TREES, dtype=np.int32)), pa.array(labels.ravel())),
                         pa.array(sketch),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, fours.size + 1, fours.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(fours).ravel())),
                     ],
-                    names=["ord", "h1", "h2", "n", "labels", "sketch"],
+                    names=["ord", "h1", "h2", "n", "labels", "sketch", "fours"],
                 )
 
     return spread(rows.select("ord", "post", "text").filter("ord is not null and text is not null")).mapInArrow(run, _SIGNED)
@@ -181,7 +190,7 @@ def _distinct_texts(signed: DataFrame) -> DataFrame:
     return (
         signed.withColumn("space", space_of(F.col("ord")))
         .groupBy("space", "h1", "h2")
-        .agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
+        .agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"), F.first("fours").alias("fours"))
     )
 
 
@@ -215,7 +224,8 @@ class Forest:
         return cls(spark, name, scratch(spark, name), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def append(self, texts: DataFrame) -> Forest:
-        """Add a run of distinct texts, sorted within its buckets."""
+        """Add a run of stored distinct texts, sorted within its buckets; their min-hash bits are kept beside it."""
+        texts.select("ord", "fours").write.mode("append").parquet(f"{self.path}-fours")
         _entries(texts).write.mode("append").bucketBy(self.buckets, "route").sortBy("route", "tail").option("path", self.path).saveAsTable(self.name)
         return self
 
@@ -223,10 +233,15 @@ class Forest:
         """All runs."""
         return self.spark.table(self.name)
 
+    def fours(self) -> DataFrame:
+        """(ord, fours) of all texts."""
+        return self.spark.read.schema("ord bigint, fours array<bigint>").parquet(f"{self.path}-fours")
+
     def merge(self) -> Forest:
         """The same entries as one sorted run."""
         new = Forest.create(self.spark, self.buckets)
         self.entries().repartition(self.buckets, "route").write.bucketBy(self.buckets, "route").sortBy("route", "tail").option("path", new.path).saveAsTable(new.name)
+        self.fours().write.parquet(f"{new.path}-fours")
         self.drop()
         return new
 
@@ -234,6 +249,7 @@ class Forest:
         """Delete the forest."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         drop_path(self.spark, self.path)
+        drop_path(self.spark, f"{self.path}-fours")
 
 
 def candidates(new: DataFrame, old: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataFrame:
@@ -247,6 +263,20 @@ def candidates(new: DataFrame, old: DataFrame, depth: int, threshold: float = TH
     return met.select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
 
 
+def alike(pairs: DataFrame, dup_bits: DataFrame, kept_bits: DataFrame) -> DataFrame:
+    """The pairs of which at least ``AGREE`` min-hash functions agree, by four bits each."""
+    a = dup_bits.select(F.col("ord").alias("dup"), F.col("fours").alias("a"))
+    b = kept_bits.select(F.col("ord").alias("kept"), F.col("fours").alias("b"))
+    both = pairs.join(a, "dup").join(b, "kept")
+    differ = None
+    for k in range(-(-(TREES * LABEL + EXTRA) // 16)):
+        x = F.element_at("a", k + 1).bitwiseXOR(F.element_at("b", k + 1))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        n = F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+        differ = n if differ is None else differ + n
+    return both.filter(differ <= TREES * LABEL + EXTRA - AGREE).select("dup", "kept")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
     """The pairs whose texts repeat each other, by exact set similarity of the normal texts.
 
@@ -335,18 +365,19 @@ def admit(forest: Forest, rows: DataFrame, is_new: Callable[[Column], Column], t
     """
     spark = forest.spark
     signed = stored(sign(rows.filter(is_new(F.col("ord"))), least), "signed")
-    pending = Forest.create(spark, forest.buckets).append(_distinct_texts(signed))
+    texts = stored(_distinct_texts(signed), "texts")
+    pending = Forest.create(spark, forest.buckets).append(texts)
     depth = depth_for(recall, threshold)
     new = pending.entries()
-    pairs = stored(candidates(new, forest.entries(), depth, threshold).union(candidates(new, new, depth, threshold)), "pairs")
+    with_old, with_new = candidates(new, forest.entries(), depth, threshold), candidates(new, new, depth, threshold)
+    pairs = stored(alike(with_old, pending.fours(), forest.fours()).union(alike(with_new, pending.fours(), pending.fours())), "pairs")
     pending.drop()
     release(spark)
     edges = stored(verified(pairs, rows, threshold, least), "edges")
     release(spark)
     rejected = stored(resolve(edges, is_new), "rejected")
     if commit:
-        forest.append(_distinct_texts(signed).join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti"))
-    texts = signed.groupBy(space_of(F.col("ord")).alias("space"), "h1", "h2").agg(F.min("ord").alias("ord"))
+        forest.append(texts.join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti"))
     # Copies get their text's result; of an accepted text every later copy repeats the first.
     fate = texts.select("space", "h1", "h2", F.col("ord").alias("first")).join(rejected.select(F.col("dup").alias("first"), "kept"), "first", "left")
     own = signed.select("ord", "h1", "h2", space_of(F.col("ord")).alias("space"))
@@ -356,4 +387,8 @@ def admit(forest: Forest, rows: DataFrame, is_new: Callable[[Column], Column], t
 
 def build(spark: SparkSession, rows: DataFrame, least: int = LEAST, buckets: int | None = None) -> Forest:
     """Forest of an accepted history (ord, post, text)."""
-    return Forest.create(spark, buckets).append(_distinct_texts(sign(rows, least)))
+    texts = stored(_distinct_texts(sign(rows, least)), "texts")
+    forest = Forest.create(spark, buckets).append(texts)
+    drop_path(spark, texts.inputFiles()[0].rpartition("/")[0]) if texts.inputFiles() else None
+    release(spark)
+    return forest
