@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hot, profile
+from . import hot, profile, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (profile, hot)
+_MODULES = (profile, vocabulary, hot)
 
 
 def queries() -> dict[str, Query]:
