@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hot, profile, vocabulary
+from . import cleaning, hot, profile, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (profile, vocabulary, hot)
+_MODULES = (profile, cleaning, vocabulary, hot)
 
 
 def queries() -> dict[str, Query]:
