@@ -227,7 +227,7 @@ def video_id(c: Column) -> Column:
     """Video id from watch, short-link, shorts, embed and live URLs or a bare id; null otherwise."""
     host = F.lower(F.try_parse_url(c, F.lit("HOST")))
     path = F.try_parse_url(c, F.lit("PATH"))
-    short = F.element_at(F.split(F.ltrim(F.lit("/"), path), "/"), 1)
+    short = F.regexp_extract(path, r"^/*([^/]+)", 1)
     named = F.regexp_extract(path, r"^/(?:shorts|embed|live|v)/([^/]+)", 1)
     return F.nullif(
         F.when(host.rlike(r"(^|\.)youtu\.be$"), short)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, hot, profile, vocabulary
+from . import cleaning, hot, profile, relational, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (profile, cleaning, vocabulary, hot)
+_MODULES = (profile, cleaning, vocabulary, relational, hot)
 
 
 def queries() -> dict[str, Query]:
