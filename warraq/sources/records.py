@@ -51,7 +51,7 @@ def label_text(spark: SparkSession, path: str) -> DataFrame:
 
 def sentence_labels(spark: SparkSession, path: str) -> DataFrame:
     """(sent_id, label) of a tab-separated label file: header skipped, the last label of an id wins."""
-    x = spark.read.option("wholetext", "true").text(path)
+    x = spark.read.text(path, wholetext=True)
     lines = x.select(F.posexplode(F.split("value", r"\r?\n"))).filter((F.col("pos") > 0) & F.col("col").contains("\t"))
     parts = lines.select("pos", F.trim(F.regexp_replace(F.regexp_extract("col", r"^(.*)\t([^\t]*)$", 1), r"^# sent_id = ", "")).alias("sent_id"), F.regexp_extract("col", r"^(.*)\t([^\t]*)$", 2).alias("label"))
     return parts.groupBy("sent_id").agg(F.max_by("label", "pos").alias("label"))
