@@ -205,3 +205,16 @@ def clean_comment(c: Column, normalize: bool = True) -> Column:
 def clean_post(c: Column, normalize: bool = True) -> Column:
     """Forum pipeline; ``normalize=False`` for texts already in NFKC."""
     return near_empty_to_null(_chain(nfkc(c) if normalize else c, POST_STEPS))
+
+
+def cleaned(c: Column, post: bool = False) -> Column:
+    """Either pipeline as one Arrow UDF: a row crosses to Python once, as it must for NFKC, and each rule runs once.
+
+    Declared non-deterministic only so that a filter on the result is not pushed below it and the
+    pipeline run again; the result depends on the text alone.
+    """
+
+    def cleaned_udf(s: pd.Series) -> pd.Series:
+        return pd.Series((clean_post_texts if post else clean_comment_texts)(s.tolist()), dtype=object)
+
+    return F.pandas_udf(cleaned_udf, "string").asNondeterministic()(c)

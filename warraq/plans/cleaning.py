@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, html, translit
 from ..functions import text as T
 from ..operators import neardup
+from ..operators.common import spread
 from ..operators.registry import Registry
 from . import sqltext as S
 
@@ -78,7 +79,7 @@ def near_empty_filter(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def clean_comments(spark: SparkSession, d: str) -> DataFrame:
     """Processed comments: cleaned, near-empty dropped, flat record."""
-    x = _t(spark, d, "youtube_comments").withColumn("text", clean.clean_comment(F.col("text"))).filter("text is not null")
+    x = spread(_t(spark, d, "youtube_comments")).withColumn("text", clean.cleaned(F.col("text"))).filter("text is not null")
     return x.select(
         F.concat(F.lit("yt_"), "video_id", F.lit("_"), "comment_id").alias("id"),
         "text",
@@ -97,7 +98,7 @@ def clean_comments(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def clean_posts(spark: SparkSession, d: str) -> DataFrame:
     """Processed posts: cleaned, near-empty dropped, nested source metadata."""
-    x = _t(spark, d, "forum_posts").withColumn("text", clean.clean_post(F.col("text"))).filter("text is not null")
+    x = spread(_t(spark, d, "forum_posts")).withColumn("text", clean.cleaned(F.col("text"), post=True)).filter("text is not null")
     meta = F.struct(F.col("subforum_id").alias("subforum"), "thread_title", "thread_url", "post_url", "author")
     return x.select(
         F.concat(F.lit("djelfa_"), "post_id").alias("id"), "text", F.lit("djelfa_info").alias("source"), F.lit("forum_post").alias("source_type"), meta.alias("source_metadata"), "scrape_date",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.common import spread
 from . import sqltext as S
 
 QUERIES: dict = {}
@@ -43,15 +44,15 @@ LONG = "bigint"
 def clean_profile(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: lightly cleaned documents by language with a total row: tokens and their script classes."""
     t = T.normalize_whitespace(T.replace_urls(T.replace_mentions(T.strip_tachkil(F.col("text")))))
-    kept = docs(spark, d).select(F.coalesce("lang", F.lit("_none")).alias("lang"), t.alias("t")).filter(F.length(F.regexp_replace("t", r"[^\p{L}]", "")) >= 2)
-    n = T.class_sizes(F.col("t"))
-    per_doc = kept.select("lang", T.word_count(F.col("t")).alias("tokens"), *[c.alias(k) for k, c in n.items()])
-    sums = [F.sum(c).cast(LONG).alias(c) for c in ("tokens", *n)]
-    return (
-        per_doc.rollup("lang")
-        .agg(F.count(F.lit(1)).alias("docs"), *sums)
-        .select(F.coalesce("lang", F.lit("ALL")).alias("lang"), "docs", "tokens", F.round(F.col("tokens") / F.col("docs"), 6).alias("mean_tokens"), *n)
+    kept = spread(docs(spark, d).select(F.coalesce("lang", F.lit("_none")).alias("lang"), "text")).select("lang", t.alias("t"))
+    tokens = kept.filter(F.length(F.regexp_replace("t", r"[^\p{L}]", "")) >= 2).select("lang", F.posexplode_outer(T.words(F.col("t"))))
+    kinds = ("arabic", "latin", "mixed", "digits_symbols")
+    # One classification a token, combined by language first; the total row is rolled up from those few rows.
+    by = tokens.select("lang", "pos", T.token_class(F.col("col")).alias("k"), F.col("col").isNotNull().alias("is_token")).groupBy("lang").agg(
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("docs"), F.count_if("is_token").alias("tokens"), *[F.count_if(F.col("is_token") & (F.col("k") == k)).alias(k) for k in kinds]
     )
+    g = by.rollup("lang").agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", *kinds)])
+    return g.select(F.coalesce("lang", F.lit("ALL")).alias("lang"), "docs", "tokens", F.round(F.col("tokens") / F.col("docs"), 6).alias("mean_tokens"), *kinds)
 
 
 @query(
@@ -73,11 +74,9 @@ def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
 )
 def token_script_counts(spark: SparkSession, d: str) -> DataFrame:
     """Token classes by source with their share."""
-    n = T.class_sizes(F.col("text"))
-    per = docs(spark, d).select("source", *[c.alias(k) for k, c in n.items()]).groupBy("source").agg(*[F.sum(k).alias(k) for k in n])
-    long = per.select("source", F.explode(F.map_from_arrays(F.array(*map(F.lit, n)), F.array(*n))).alias("class", "n")).filter("n > 0")
-    total = F.sum("n").over(Window.partitionBy("source"))
-    return long.select("source", "class", F.col("n").cast(LONG).alias("n"), F.round(F.col("n") / total, 6).alias("share"))
+    tokens = spread(docs(spark, d).select("source", "text")).select("source", F.explode(T.words(F.col("text"))).alias("t"))
+    counts = tokens.groupBy("source", T.token_class(F.col("t")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("source", "class", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 6).alias("share"))
 
 
 @query(f"SELECT {S.two_class('text', S.AR_NARROW, 'a-zA-Z', 'other')} AS script, count(*)::BIGINT AS n FROM forum_posts WHERE text IS NOT NULL GROUP BY 1")
@@ -96,7 +95,7 @@ _BUCKET = f"CASE WHEN text IS NULL THEN 'null_text' WHEN {_RATIO[0]} + {_RATIO[1
 )
 def text_script_ratio_bucket(spark: SparkSession, d: str) -> DataFrame:
     """Source by script-ratio bucket as a pivot, with the Arabic share of rows."""
-    b = docs(spark, d).select("source", F.coalesce(T.script_ratio_bucket(F.col("text")), F.lit("null_text")).alias("b"))
+    b = spread(docs(spark, d).select("source", "text")).select("source", F.coalesce(T.script_ratio_bucket(F.col("text")), F.lit("null_text")).alias("b"))
     names = ["arabic", "latin", "mixed", "no_letters"]
     # Conditional counts in one aggregate: a pivot with known values.
     return b.groupBy("source").agg(*[F.count_if(F.col("b") == n).alias(n) for n in names], F.round(F.count_if(F.col("b") == "arabic") / F.count(F.lit(1)), 3).alias("arabic_share"))
