@@ -56,7 +56,7 @@ class Places:
         self.text, self.encoder = text, encoder
         memo = encoder.memo
         pieces = bpe.SPLIT.findall(text)
-        n = np.fromiter((len(memo[s]) // 4 for s in pieces), dtype=np.int64, count=len(pieces))
+        n = np.fromiter(map(len, map(memo.__getitem__, pieces)), dtype=np.int64, count=len(pieces)) // 4
         chars = np.concatenate(([0], np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))))
         toks = np.concatenate(([0], np.cumsum(n)))
         self.total = int(toks[-1])
@@ -64,7 +64,9 @@ class Places:
         self.pre_chars: list[int] = []
         self.pre_toks: list[int] = []
         self._pieces, self._sizes = pieces, n
-        self.chars = self.toks = self.strong = np.zeros(0, dtype=np.int64)
+        self.chars: list[int] = []
+        self.toks: list[int] = []
+        self.strong = np.zeros(0, dtype=np.int64)
 
     def prepare(self) -> None:
         """Strengths, and the places inside big pre-tokens."""
@@ -99,11 +101,11 @@ class Places:
             ic = np.array([x for c, _ in parts for x in c], dtype=np.int64)
             it = np.array([x for _, t in parts for x in t], dtype=np.int64)
             order = np.argsort(np.concatenate((chars, ic)), kind="stable")
-            self.chars = np.concatenate((chars, ic))[order]
-            self.toks = np.concatenate((toks, it))[order]
+            self.chars = np.concatenate((chars, ic))[order].tolist()
+            self.toks = np.concatenate((toks, it))[order].tolist()
             self.strong = np.concatenate((strong, np.full(len(ic), INSIDE)))[order]
         else:
-            self.chars, self.toks, self.strong = chars, toks, strong
+            self.chars, self.toks, self.strong = self.pre_chars, self.pre_toks, strong
 
     def inside(self, k: int) -> tuple[list[int], list[int]]:
         """(characters, tokens) of the token ends inside pre-token ``k`` that are character ends."""
@@ -214,7 +216,7 @@ class Splitter:
         return out
 
     def _pieces(self, p: Places, most: int, overlap: int) -> list[tuple[int, int, int, int]]:
-        places, toks = p.chars.tolist(), p.toks.tolist()
+        places, toks = p.chars, p.toks
         edges = [0, *self._cuts(toks, p.strong, max(1, most - overlap)), len(places) - 1]
         todo = [(edges[k], edges[k + 1]) for k in range(len(edges) - 1)][::-1]
         out: list[tuple[int, int, int, int]] = []
