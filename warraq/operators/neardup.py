@@ -32,6 +32,32 @@ def _permutations(seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 _A, _B = _permutations()
 
 
+#: Shingles whose permuted hashes a worker keeps: rows of a table of half a kilobyte each.
+MEMO = 100_000
+
+
+class _Rows(dict):
+    """Row numbers of shingles in a table of their hashes under all permutations."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.table = np.empty((1024, PERMUTATIONS), dtype=np.uint32)
+
+    def __missing__(self, shingle: str) -> int:
+        row = len(self)
+        if row == len(self.table):
+            self.table = np.concatenate((self.table, np.empty_like(self.table)))
+        h = np.uint64(int.from_bytes(hashlib.sha1(shingle.encode("utf-8", "surrogatepass")).digest()[:4], "little"))
+        # Products wrap at 64 bits, as the published scheme's do.
+        with np.errstate(over="ignore"):
+            self.table[row] = ((h * _A + _B) % np.uint64(_PRIME)) & np.uint64(_MASK)
+        self[shingle] = row
+        return row
+
+
+_KNOWN = _Rows()
+
+
 def minhash(text: str | None) -> list[int] | None:
     """128 minima of a text's shingle hashes; None for null and empty texts."""
     if not text:
@@ -40,9 +66,11 @@ def minhash(text: str | None) -> list[int] | None:
     if not t:
         return None
     shingles = {t[i : i + 4] for i in range(len(t) - 3)} if len(t) > 4 else {t}
-    h = np.array([int.from_bytes(hashlib.sha1(s.encode("utf-8", "surrogatepass")).digest()[:4], "little") for s in shingles], dtype=np.uint64)
-    # Products wrap at 64 bits, as the published scheme's do.
-    return (((h[:, None] * _A + _B) % np.uint64(_PRIME)) & np.uint64(_MASK)).min(axis=0).tolist()
+    if len(_KNOWN) + len(shingles) > MEMO:
+        # Emptied between texts only, so that a text's rows stay together; one longer text may exceed the bound.
+        _KNOWN.clear()
+    rows = np.fromiter(map(_KNOWN.__getitem__, shingles), dtype=np.int64, count=len(shingles))
+    return _KNOWN.table[rows].min(axis=0).tolist()
 
 
 def signature(c: Column) -> Column:
