@@ -46,12 +46,14 @@ def spearman_by_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def analogy_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Analogy accuracy over the first pairs of each label (an evaluation list of fixed size)."""
+    """Analogy accuracy over the pairs of neighbouring ids of each label, all rows, the answers sought among all vectors.
+
+    The last row of a label with an odd number of rows has no pair; it is a candidate like all others.
+    """
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").cast("string").alias("category"))
-    w = Window.partitionBy("category").orderBy("id")
-    p = e.withColumn("r", F.row_number().over(w)).filter("r <= 12").select("id", "category", "r")
-    pairs = p.filter("r % 2 = 1").alias("a").join(p.alias("b"), (F.col("a.category") == F.col("b.category")) & (F.col("b.r") == F.col("a.r") + 1))
-    return embeddings.analogies(pairs.select(F.col("a.category").alias("category"), F.col("a.r").alias("pos"), F.col("a.id").alias("a"), F.col("b.id").alias("b")), e.select("id", "vec"))
+    place = F.floor((F.row_number().over(Window.partitionBy("category").orderBy("id")) - 1) / 2)
+    pairs = e.select("id", "category").withColumn("pos", place).groupBy("category", "pos").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("ids")).filter("ids = 2")
+    return embeddings.analogies(pairs, e.select("id", "vec"))
 
 
 _PIECES = "(length(x) + 3) // 4"
