@@ -1,9 +1,14 @@
 """The whole job is done: no rows, candidates or keys are cut."""
 
+import json
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from warraq.operators import embeddings
 from warraq.plans import evaluation
+from warraq.sources import records
+from warraq.streaming import incremental
 
 
 def _vec_table(spark, tmp_path, rows):
@@ -69,3 +74,57 @@ def test_analogies_pool_skipped_ties(spark):
         n, skipped, right = _brute(pairs, vecs, vecs if pool is None else pool, top)
         assert (got["c"].n, got["c"].skipped, round((got["c"].accuracy or 0) * got["c"].n)) == (n, skipped, right)
         assert (got["none"].n, got["none"].skipped, got["none"].accuracy) == (0, 2, None)
+
+
+def _lines(path, rows):
+    path.write_text("\n".join(json.dumps({"comment_id": i, "text": t, "video_id": "v", "source_type": "comment"}) for i, t in rows))
+
+
+TEXTS = [
+    "mazal ma jawch khouya, rahom f trig hadi chhal",
+    "un tout autre message sur le marché du village",
+    "quiet river under the old green bridge was flowing",
+    "wach rakoum khouti lyoum rani mlih bezzaf hehe",
+    "je pense que le match de ce soir est très important",
+    "nchallah ghodwa nrouhou lel bhar m3a drari kamel",
+]
+
+
+def test_stream_keeps_null_and_repeated_ids(spark, tmp_path):
+    raw, out = tmp_path / "raw", f"file://{tmp_path}/out"
+    raw.mkdir()
+    # Null ids, and one id with two texts: six texts that aren't near each other.
+    _lines(raw / "a.json", [(None, TEXTS[0]), (None, TEXTS[1]), (None, TEXTS[2]), ("x", TEXTS[3]), ("x", TEXTS[4]), ("y", TEXTS[5]), ("z", TEXTS[5])])
+    incremental.run(spark, f"file://{raw}", out)
+    log = incremental.run_log(spark, out).first()
+    assert (log.collected, log.dropped_empty, log.dropped_repeats, log.retained) == (7, 0, 1, 6)
+    assert {r.text for r in spark.read.parquet(f"{out}/docs").collect()} == set(TEXTS)
+
+
+def test_stream_keeps_the_first_to_arrive(spark, tmp_path):
+    raw, out = tmp_path / "raw", f"file://{tmp_path}/out"
+    raw.mkdir()
+    # The same six texts in three files, under other ids: those of the first file, by name, stay, and in their order.
+    for name in ("c", "a", "b"):
+        _lines(raw / f"{name}.json", [(f"{name}{9 - k}", t) for k, t in enumerate(TEXTS)] + [(f"{name}again", TEXTS[0])])
+    incremental.run(spark, f"file://{raw}", out)
+    got = [(r.comment_id, r.text) for r in spark.read.parquet(f"{out}/docs").orderBy("id").collect()]
+    assert got == [(f"a{9 - k}", t) for k, t in enumerate(TEXTS)]
+    log = incremental.run_log(spark, out).first()
+    assert (log.collected, log.dropped_repeats, log.retained) == (21, 15, 6)
+
+
+def test_rows_are_numbered_by_file_and_line_over_blocks(spark, tmp_path):
+    for name, n in (("b", 300), ("a", 200)):
+        _lines(tmp_path / f"{name}.json", [(f"{name}{k}", "t" * (k % 50)) for k in range(n)])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        df = spark.read.schema(records.RAW_COMMENT).json(str(tmp_path)).withColumn("path", F.col("_metadata.file_path")).withColumn("block", F.col("_metadata.file_block_start"))
+        assert df.select("path", "block").distinct().count() > 5
+        rows = incremental.numbered(df, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    ids = [r.comment_id for r in sorted(rows, key=lambda r: r.id)]
+    assert ids == [f"a{k}" for k in range(200)] + [f"b{k}" for k in range(300)]
+    assert sorted(r.id - (2 << 40) for r in rows) == list(range(500))
