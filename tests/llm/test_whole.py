@@ -1,0 +1,26 @@
+"""The whole job is done: nothing that a pattern or a model accepts is passed over."""
+
+import pytest
+
+from warraq.llm import pii
+
+ADDRESSES = [
+    *(f"rdv au {before} {way} des Pins, Oran" for before in ("12", "12,", "12 bis", "lot n° 12") for way in ("rue", "avenue", "av", "av.", "bd", "boulevard", "chemin", "route", "impasse", "place", "allée", "allee", "ALLÉE", "quai")),
+    *(f"he lives at 24 Baker {road} London" for road in ("Street", "Road", "avenue", "lane", "st.", "rd.", "St.")),
+    *(f"{hay} 500 {homes} {block} 12 bab 4 Oran" for hay in ("hay", "7ay") for homes in ("sakan", "maskan", "logt", "logts") for block in ("3imara", "imara", "bat", "bt")),
+    "cité 200 logts bat 3 n° 12 Oran", "cite 200 logements bloc 3 porte 12 Oran", "building 4, flat 12, Oran", "Block B, apt. 3, Oran",
+    "حي 500 مسكن عمارة 12 رقم 4 وهران", "عمارة 12 باب 4 حي السلام وهران", "شارع الاستقلال رقم 12 وهران", "12 نهج الاستقلال، وهران",
+]
+EMAILS = ["amine.k@mail.com", "amine.k＠mail.com", *(f"amine.k [{at}] mail [{dot}] com" for at in ("at", "arobas", "arobase", "AT", "@") for dot in ("dot", "point", ".")), "amine.k at mail dot com", "amine.k arobase mail point com"]
+
+
+@pytest.mark.parametrize("text", ADDRESSES)
+def test_addresses_pass_their_hint(text):
+    assert any(p.search(text) for p in pii._ADDRESS)
+    assert "address" in {s.kind for s in pii.Finder([]).spans(text)}
+
+
+@pytest.mark.parametrize("text", EMAILS)
+def test_emails_pass_their_hint(text):
+    assert pii._EMAIL.search(text)
+    assert "email" in {s.kind for s in pii.Finder([]).spans(text)}

@@ -78,12 +78,14 @@ def dialable(number: str) -> bool:
 
 # --- proposals --------------------------------------------------------------
 
-_AT = r"(?:\s?[@\uff20]\s?|\s?[\[({<]\s?(?:at|arobase?|@)\s?[\])}>]\s?|\s(?:at|arobase)\s(?=[\w-]+\s(?:dot|point)\s))"
+_AT_SIGN, _AT_WORD = r"[@\uff20]", r"(?:at|arobase?)"
+_AT = rf"(?:\s?{_AT_SIGN}\s?|\s?[\[({{<]\s?(?:{_AT_WORD}|@)\s?[\])}}>]\s?|\s(?:at|arobase)\s(?=[\w-]+\s(?:dot|point)\s))"
 _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|point|\.)\s?[\])}>]\s?|\s(?:dot|point)\s)"
 _EMAIL = re.compile(rf"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])", re.I)
 # One blank alone before the sign is a mention after a word, not an address.
 _MENTION = re.compile(r"\S\s@\S")
-_EMAIL_HINT = re.compile(r"[@\uff20]|\b(?:at|arobase)\b", re.I)
+# Hints are cheap first looks; they are made of the patterns' own parts, so that all that a pattern takes passes its hint.
+_EMAIL_HINT = re.compile(rf"{_AT_SIGN}|\b{_AT_WORD}\b", re.I)
 
 _NUMBER = re.compile(r"(?<![\w+.,/-])(?:\(\s?\+?\s?\d{2,3}\s?\)|\+|[A-Z])?\s?\d(?:[ .\-\u00a0]?\d){7,23}(?![\d/]|[.,-]\d|[^\W\d])")
 _PHONE_WORDS = re.compile(r"(?:\bt[eé]l|phone|whats?app|\bnum|appele|joignable|call|3ayt|رقمي|هاتف|اتصل|واتساب|للحجز|نمر)", re.I)
@@ -97,6 +99,8 @@ _ID_WORDS = re.compile(
 _TOWN_LAT = r"(?:a[iï]n|djebel|tizi|hammam|ksar|sidi|bordj|oued|beni|ouled|bab|bir|el|dar|ben|souk|kef|ras|borj|wad)\s+[^\W\d_]{2,}|[A-ZÀ-Ý][^\W\d_]{2,}"
 _TOWN_AR = r"(?:عين|جبل|تيزي|حمام|قصر|سيدي|برج|واد|وادي|بني|أولاد|باب|بئر|دار|سوق|راس)\s+[^\W\d_]+|[^\W\d_]{3,}"
 _WAY = r"(?:rue|avenue|av\.?|bd|boulevard|chemin|route|impasse|place|all[ée]e|quai)"
+_ROAD = r"(?:street|road|avenue|lane|st\.|rd\.)"
+_HOMES = r"(?:sakan|maskan|logts?)"
 _OF = r"(?:de\s+la\s+|de\s+l['’]|des\s+|du\s+|de\s+|d['’])?"
 _N = r"(?:no?\.?|n°|num[eé]ro|رقم)?\s?\d{1,5}"
 _SEP = r"\s*[,،\-–]?\s*"
@@ -106,10 +110,10 @@ _ADDRESS = [
         # number, kind of way, its name, (postcode,) town
         (rf"(?<!\w)(?:lot\s+n?[°o]?\s?)?\d{{1,4}}(?:\s*,)?\s*(?:bis|ter)?\s*(?i:{_WAY})\s+(?i:{_OF})[^\W\d_]+(?:\s+(?i:aux|du|de|des|la|les)?\s*[A-ZÀ-Ý][^\W\d_]+)*{_SEP}(?:\d{{5}}\s+)?(?:(?i:{_TOWN_LAT.split('|[A-Z')[0]})|[A-ZÀ-Ý][^\W\d_]{{2,}})", 0),
         (rf"(?<!\w)(?i:lot\s+n?[°o]?\s?)\d{{1,4}}\s+(?i:{_WAY})\s+(?i:{_OF})[^\W\d_]+(?:\s+(?i:aux|du|de|des|la|les)?\s*[A-ZÀ-Ý][^\W\d_]+)*{_SEP}(?:\d{{5}}\s+)?(?:(?i:{_TOWN_LAT.split('|[A-Z')[0]})|[A-ZÀ-Ý][^\W\d_]{{2,}})", 0),
-        (r"(?i:\bno\.?\s*)?(?<!\w)\d{1,4},?\s+(?:[A-Z][^\W\d_]+\s+){1,3}(?i:street|road|avenue|lane|st\.|rd\.)\s*[,\-–]?\s*(?:[A-ZÀ-Ý][^\W\d_]+)", 0),
+        (rf"(?i:\bno\.?\s*)?(?<!\w)\d{{1,4}},?\s+(?:[A-Z][^\W\d_]+\s+){{1,3}}(?i:{_ROAD})\s*[,\-–]?\s*(?:[A-ZÀ-Ý][^\W\d_]+)", 0),
         # estates and blocks
         (rf"\bcit[eé]\s+(?:des?\s+)?\d{{1,5}}\s*(?:logts?|logements?)\.?{_SEP}(?:b(?:[aâ]t|t)?(?:iment)?|bloc)\.?\s*n?°?\s*\w{{1,4}}{_SEP}(?:(?:porte|appt?|app)\s*)?n?°?\s*\d{{1,4}}{_SEP}(?:{_TOWN_LAT})", re.I),
-        (rf"(?<!\w)(?:7ay|hay)\s+\d{{1,5}}\s+(?:sakan|maskan|logts?)\s+(?:3imara|imara|bt|bat)\s+\d{{1,4}}\s+(?:bab|n°?|ra9m)\s*\d{{1,4}}{_SEP}(?:{_TOWN_LAT})", re.I),
+        (rf"(?<!\w)(?:7ay|hay)\s+\d{{1,5}}\s+{_HOMES}\s+(?:3imara|imara|bt|bat)\s+\d{{1,4}}\s+(?:bab|n°?|ra9m)\s*\d{{1,4}}{_SEP}(?:{_TOWN_LAT})", re.I),
         (rf"\b(?:building|block)\s+\w{{1,4}}\s*,\s*(?:flat|apt\.?|apartment|door)\s+\d{{1,4}}\s*,\s*(?:{_TOWN_LAT})", re.I),
         (rf"(?<!\w)حي\s+(?:\d{{1,5}}\s+(?:مسكن|مسكنا|سكن)|[^\W\d_]+(?:\s+[^\W\d_]+)?)\s+عمارة\s+\d{{1,4}}\s+(?:رقم|باب|شقة)\s+\d{{1,4}}{_SEP}(?:{_TOWN_AR})", 0),
         (rf"(?<!\w)عمارة\s+\d{{1,4}}\s+(?:باب|رقم|شقة)\s+\d{{1,4}}{_SEP}حي\s+[^\W\d_]+(?:\s+[^\W\d_]+)?{_SEP}(?:{_TOWN_AR})", 0),
@@ -117,7 +121,8 @@ _ADDRESS = [
         (rf"(?<!\w)\d{{1,4}}\s+(?:نهج|شارع|طريق)\s+[^\W\d_]+(?:\s+[^\W\d_]+){{0,2}}\s*[،,\-]\s*(?:{_TOWN_AR})", 0),
     )
 ]
-_ADDRESS_HINT = re.compile(r"(?:rue|avenue|bd|boulevard|lot|cit[eé]|street|road|lane|building|block|sakan|maskan|chemin|route|impasse|place|شارع|نهج|عمارة|طريق)", re.I)
+# A way follows a number, a comma, white space, bis or ter, a road white space.
+_ADDRESS_HINT = re.compile(rf"(?:[\s\d,]|bis|ter){_WAY}\s|\s{_ROAD}|{_HOMES}|cit[eé]|building|block|شارع|نهج|عمارة|طريق", re.I)
 
 _PARTICLES = frozenset("ould aït ait ben bou bel bent el بن ولد آيت ايت أيت بو بنت بل ابن".split())
 _BEFORE = frozenset("السيد السيدة الأستاذ الأستاذة الأخ الأخت تحيات اسمي إسمي أنا ismi ana m3a mme m mr mrs ms m'appelle signé signe à to is monsieur madame".split())
