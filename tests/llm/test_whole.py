@@ -2,7 +2,7 @@
 
 import pytest
 
-from warraq.llm import pii
+from warraq.llm import pii, residue
 
 ADDRESSES = [
     *(f"rdv au {before} {way} des Pins, Oran" for before in ("12", "12,", "12 bis", "lot n° 12") for way in ("rue", "avenue", "av", "av.", "bd", "boulevard", "chemin", "route", "impasse", "place", "allée", "allee", "ALLÉE", "quai")),
@@ -24,3 +24,14 @@ def test_addresses_pass_their_hint(text):
 def test_emails_pass_their_hint(text):
     assert pii._EMAIL.search(text)
     assert "email" in {s.kind for s in pii.Finder([]).spans(text)}
+
+
+def test_residue_of_two_kinds_is_covered_by_both():
+    # Wholly residue, half notices and half filler: neither kind alone covers enough.
+    prose = ["je pense que le match de ce soir est très important", "quiet river under the old green bridge was flowing", "wach rakoum khouti lyoum rani mlih hadi bezzaf hehe"]
+    judge = residue.Judge(residue.fit(prose))
+    notices = [x for x in residue.NOTICES if x]
+    for k in range(0, 40, 4):
+        note = " ".join(notices[k : k + 4])
+        assert judge.is_residue(f"{note} {residue.filler_seed(400, 100 + k)[: len(note)]}")
+    assert not any(judge.is_residue(p) for p in prose)
