@@ -11,7 +11,7 @@ those bins, until the value is known.  What is shuffled is counts; a key's
 values are never gathered, and a window never sees more than one histogram.
 
 Defined cases: a null key is a group of its own; null items aren't counted as
-distinct; null values have no rank (a key with none has null quantiles);
+distinct; null values have no rank (a key with no others has no row of quantiles);
 repeated rows count as often as they come; ties need no rule, as equal values
 are one bin; an empty table gives no rows.  Column names of the input are
 free, as the operator renames what it reads.
