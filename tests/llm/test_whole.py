@@ -2,7 +2,7 @@
 
 import pytest
 
-from warraq.llm import pii, residue
+from warraq.llm import history, pii, residue
 
 ADDRESSES = [
     *(f"rdv au {before} {way} des Pins, Oran" for before in ("12", "12,", "12 bis", "lot n° 12") for way in ("rue", "avenue", "av", "av.", "bd", "boulevard", "chemin", "route", "impasse", "place", "allée", "allee", "ALLÉE", "quai")),
@@ -35,3 +35,14 @@ def test_residue_of_two_kinds_is_covered_by_both():
         note = " ".join(notices[k : k + 4])
         assert judge.is_residue(f"{note} {residue.filler_seed(400, 100 + k)[: len(note)]}")
     assert not any(judge.is_residue(p) for p in prose)
+
+
+def test_pairs_are_verified_well_below_the_usual_agreement(spark):
+    # 84 of 136 functions agree; four bits each, sixteen to a word.
+    def words(differ):
+        return [sum(((16 * w + k) < differ) << (4 * k) for k in range(16 if w < 8 else 8)) for w in range(9)]
+
+    bits = [(1, [0] * 9), (2, words(136 - 84)), (3, words(136 - 60))]
+    df = spark.createDataFrame([(o, [x - (1 << 64) if x >> 63 else x for x in ws]) for o, ws in bits], "ord bigint, fours array<bigint>")
+    pairs = spark.createDataFrame([(2, 1), (3, 1)], "dup bigint, kept bigint")
+    assert [tuple(r) for r in history.alike(pairs, df, df).collect()] == [(2, 1)]
