@@ -328,6 +328,78 @@ def test_history_one_delivery_and_many(spark):
     assert got == want and len(want) > 100
 
 
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "batch int, i bigint, text string").select(history.order_of(0, F.col("batch"), F.col("i")).alias("ord"), F.lit(False).alias("post"), "text")
+
+
+def _pairs(x):
+    return {(r.k, r.d) for r in x.select(history.row_of(F.col("kept")).alias("k"), history.row_of(F.col("dup")).alias("d")).collect()}
+
+
+def test_history_is_found_again_by_another_session(spark, tmp_path):
+    rows, _ = _history_rows()
+    want, path = _brute(rows), f"file://{tmp_path}/forest"
+    of = lambda no: [r for r in rows if r[0] == no]
+    forest = history.build(spark, _frame(spark, of(0)), path=path)
+    got = _pairs(history.admit(forest, _frame(spark, of(1))))
+    forest.close()
+    other = spark.newSession()
+    again = history.Forest.open(other, path)
+    got |= _pairs(history.admit(again, _frame(other, of(2))))
+    again.merge()
+    again.close()
+    last = history.Forest.open(spark, path)
+    assert len(last.runs) < 3 and sum(last.runs.values()) == last.entries().count()
+    got |= _pairs(history.admit(last, _frame(spark, of(3))))
+    assert got == want
+    last.drop()
+    with pytest.raises(Exception, match="(?i)forest|exist"):
+        history.Forest.open(spark, path)
+
+
+def test_small_delivery_reads_only_its_buckets(spark):
+    rows, _ = _history_rows()
+    forest = history.build(spark, _frame(spark, [r for r in rows if r[0] == 0]), buckets=64)
+    text = "a text of which the history holds nothing, that is long enough to be compared with it"
+    asked = history.lookups(history._entries(history._distinct_texts(history.sign(_frame(spark, [(1, 5000, text)])))), 5)
+    routes = [r[0] for r in asked.select("route").distinct().collect()]
+    plan = history.candidates(asked, forest.entries().filter(F.col("route").isin(routes)))._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: " in plan and int(plan.split("SelectedBucketsCount: ")[1].split()[0]) <= history.TREES
+    # The forest's side of a look-up isn't shuffled.
+    assert plan.count("Exchange hashpartitioning(route") == 1
+    forest.drop()
+
+
+@pytest.mark.parametrize("in_history", [True, False])
+def test_hot_group_of_near_copies_costs_its_size(spark, monkeypatch, in_history):
+    # Near-copies, all different: a third of the rows and more; and some that repeat later ones of them only.
+    r = random.Random(3)
+    base = [f"word{r.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        w[r.randrange(60)] = f"other{k}"
+        if k % 40 == 39:
+            for j in range(0, 9):
+                w[j * 6] = f"far{k}"
+        rows.append((0 if in_history and k < 200 else 1, k, " ".join(w)))
+    for k in range(300):
+        rows.append((1, 1000 + k, " ".join(f"x{r.randrange(10**6)}" for _ in range(20))))
+    rows.sort()
+    made = []
+    plain = history.candidates
+    monkeypatch.setattr(history, "candidates", lambda *a, **o: made.append(plain(*a, **o)) or made[-1])
+    forest = history.build(spark, _frame(spark, [x for x in rows if x[0] == 0]))
+    step_pairs = []
+    real = history._Steps.__call__
+    monkeypatch.setattr(history._Steps, "__call__", lambda self, df: (lambda t: (step_pairs.append(t.count()) if t.columns == ["dup", "kept"] else None, t)[1])(real(self, df)))
+    got = _pairs(history.admit(forest, _frame(spark, [x for x in rows if x[0] == 1]), commit=False))
+    forest.drop()
+    assert got == _brute(rows)
+    # All pairs of the group would be some 60,000 (of the history's half with the other 40,000).
+    assert sum(step_pairs) < 30_000
+
+
 def test_history_empty(spark):
     empty = spark.createDataFrame([], "ord bigint, post boolean, text string")
     forest = history.build(spark, empty)

@@ -1,6 +1,7 @@
 """The whole job is done: nothing that a pattern or a model accepts is passed over."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from warraq.llm import history, pii, residue
 
@@ -37,12 +38,35 @@ def test_residue_of_two_kinds_is_covered_by_both():
     assert not any(judge.is_residue(p) for p in prose)
 
 
-def test_pairs_are_verified_well_below_the_usual_agreement(spark):
-    # 84 of 136 functions agree; four bits each, sixteen to a word.
-    def words(differ):
-        return [sum(((16 * w + k) < differ) << (4 * k) for k in range(16 if w < 8 else 8)) for w in range(9)]
+def _entry(route, label, ord_, n=100, sketch=0):
+    return (route, label, ord_, n, sketch)
 
-    bits = [(1, [0] * 9), (2, words(136 - 84)), (3, words(136 - 60))]
-    df = spark.createDataFrame([(o, [x - (1 << 64) if x >> 63 else x for x in ws]) for o, ws in bits], "ord bigint, fours array<bigint>")
-    pairs = spark.createDataFrame([(2, 1), (3, 1)], "dup bigint, kept bigint")
-    assert [tuple(r) for r in history.alike(pairs, df, df).collect()] == [(2, 1)]
+
+def test_candidates_far_from_the_usual_sketch_distance(spark):
+    # 6.4 of 64 bits differ on average at the threshold: 24 are let through, and all of them if the look-up is exact.
+    sketches = [0, (1 << 24) - 1, (1 << 30) - 1]
+    df = spark.createDataFrame([_entry(1, 5, k, sketch=s) for k, s in enumerate(sketches)], history._ENTRY)
+    asked = history.lookups(df, 5)
+    pairs = lambda **o: {tuple(r) for r in history.candidates(asked, df, **o).collect()}
+    assert pairs() == {(1, 0), (2, 1)}
+    assert pairs(exact=True) == {(1, 0), (2, 0), (2, 1)}
+
+
+def test_prefixes_are_widened_until_the_target_is_reached(spark):
+    assert history.depth_for(0.9) > history.depth_for(0.995) > history.depth_for(0.9999) >= history.HEAD
+    with pytest.raises(ValueError, match="recall"):
+        history.depth_for(1 - 1e-12)
+    # Labels of seven bytes that share 6, 5, 4 and 3 bytes with the first.
+    base = 0x01020304050607
+    df = spark.createDataFrame([_entry(base >> 32, x, k) for k, x in enumerate((base, base ^ 1, base ^ (1 << 9), base ^ (1 << 17), base ^ (1 << 25)))], history._ENTRY)
+    met = {d: {r.dup for r in history.candidates(history.lookups(df, d), df).filter("kept = 0").collect()} for d in (7, 6, 5, 4, 3)}
+    assert met == {7: set(), 6: {1}, 5: {1, 2}, 4: {1, 2, 3}, 3: {1, 2, 3, 4}}
+
+
+def test_ids_out_of_range_are_an_error(spark):
+    for no, i in ((0, 1 << 44), (0, -1), (4096, 1), (-1, 1)):
+        with pytest.raises(Exception, match="out of range"):
+            spark.createDataFrame([(no, i)], "b int, i bigint").select(history.order_of(0, F.col("b"), F.col("i")).alias("o")).collect()
+    df = spark.createDataFrame([(None, 1), (1, None), (3, 7)], "b int, i bigint").select(history.order_of(1, F.col("b"), F.col("i")).alias("o"))
+    assert [r.o for r in df.collect()] == [None, None, (1 << 56) | (3 << 44) | 7]
+    assert df.select(history.batch_of(F.col("o")).alias("b"), history.row_of(F.col("o")).alias("i")).collect()[2] == (3, 7)

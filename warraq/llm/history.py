@@ -1,73 +1,97 @@
 """Near-duplicates of new batches against all accepted history (problem 2).
 
-A prefix-tree hash forest.  Each distinct text has ``TREES`` labels: the i-th
-is the i-th group of its min-hash bytes, in order, so that texts that agree in
-the first k bytes of a label lie next to each other in that tree.  The forest
-is persisted as sorted, bucketed runs; it is made once from the history and
-grows by a run per delivery, which ``merge`` compacts.
-
-A delivery's labels are looked up by prefix range: the depth is the greatest
-that still reaches the recall target at the threshold (prefixes are widened
-until it does).  Both sides are bucketed by the shortest prefix, so a look-up
-moves no entry of the history.  Candidates must agree in set size and in a
-64-bit sketch before their texts are read, and every pair is verified exactly.
-
-What is decided (arrival order is ``order``): rows of the history are
-accepted; a new row is rejected if it repeats a row accepted before it, and
-``kept`` is the first such row.  Exact copies are one text: only distinct texts
-are compared, and the copies get their text's result, so a group of copies of
-any size costs nothing in pairs.
+A prefix-tree hash forest.  Each distinct text has one signature of min-hash
+bytes; its label in the i-th of ``TREES`` trees is the signature read from the
+i-th place on, so the trees are sorted permutations of one signature, and texts
+that agree in the first bytes of a label lie next to each other in that tree.
+
+The forest is a folder: runs of entries, bucketed by the head of the label and
+sorted by the whole, the normal texts of the accepted rows, and a manifest that
+names the live runs.  ``build`` makes it once from the history, ``admit`` looks
+a delivery up and appends its accepted texts as a run, ``merge`` makes one run
+of the small ones, ``Forest.open`` finds it again from another application.
+
+A look-up is a search for the range of labels with the same prefix.  Its depth
+starts at the whole label and is widened until a pair at the threshold meets
+in some tree with the wanted probability; a target that even the head of a
+label can't reach is an error.  The history's entries aren't moved: look-ups
+are sent to its buckets, and those of a small delivery read only the buckets
+they fall in.  Pairs whose set sizes exclude the threshold are left out, and
+those whose 64-bit sketches differ by more than ``SKETCH_BITS``, which at the
+threshold happens for fewer than one pair in 10^9 (``exact`` compares them
+too).  Every other pair is verified by its texts' exact similarity; the raw
+history is never read.
+
+What is decided (arrival order is ``ord``): rows of the history are accepted;
+a new row is rejected if it repeats a row accepted before it, and ``kept`` is
+the first such row.  Exact copies are one text.  Buckets of more than ``WIDE``
+texts aren't paired out: all are compared with the bucket's first text, and
+those that repeat it, once it is known to be accepted, leave every bucket; so
+a group of near-copies of any size costs its size.  What remains is paired,
+whatever it is: nothing is capped.
 
 Defined cases: null, empty and short texts (fewer than ``least`` characters
-after cleaning) are never compared; rows with a null id or batch neither; a row
-delivered again is a row of its own; an empty delivery rejects nothing; extra
-columns are ignored.
+after cleaning) are never compared; rows with a null id or batch neither; ids
+and batches out of range are an error; a row delivered again is a row of its
+own; an empty delivery rejects nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_comment_texts, clean_post_texts
 from ..operators.common import drop_path, release, scratch, spread, stored
 
-TREES = 12
-#: Bytes of a label; the first ``BASE`` route an entry, the others narrow a look-up.
-LABEL, BASE = 6, 4
+TREES = 16
+#: Places of the signature between the starts of two labels; prefixes up to it are independent between trees.
+STEP = 5
+FUNCTIONS = TREES * STEP
+#: Bytes of a label, and those of its head, by which entries are bucketed and below which nothing is looked up.
+LABEL, HEAD = 7, 3
 SHINGLE = 4
 THRESHOLD = 0.8
 RECALL = 0.995
 LEAST = 60
-#: Sketch bits that may differ; at the threshold 6.4 of 64 do on average, more than this for one pair in 10^5.
-SKETCH_BITS = 18
-#: Min-hash functions beyond the labels; four bits of each and of the labels' are compared before texts are.
-EXTRA = 64
-#: Of the 136 that must agree: 110 do on average at the threshold. The functions aren't independent, so the loss is a
-#: measured one: 90 once lost 1 of 11,891 verified pairs; at sf0.1 the fewest of 11,890 verified pairs are 99.
-AGREE = 80
+#: Sketch bits that may differ; at the threshold 6.4 of 64 do on average, with a deviation of 2.4.
+SKETCH_BITS = 24
+#: Texts of a bucket that are paired out; wider buckets are thinned by their first texts before.
+WIDE = 64
 #: Ids of candidates up to this many are broadcast (16 MB), more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Look-ups up to this many are told to the scan, so that it reads only their buckets.
+FEW = 2_000
+#: Live runs from which ``merge`` is worth while, and how much larger than the rest a run must be to be left alone by it.
+RUNS, TIER = 4, 3
 
 _WS = re.compile(r"\s+")
-_ODD = np.random.default_rng(20240229).integers(1, 1 << 31, size=(2, TREES * LABEL + EXTRA), dtype=np.uint32)
+_ODD = np.random.default_rng(20240229).integers(1, 1 << 31, size=(2, FUNCTIONS), dtype=np.uint32)
 _MUL, _XOR = _ODD[0] * np.uint32(2) + np.uint32(1), _ODD[1]
+_ENTRY = "route bigint, label bigint, ord bigint, n int, sketch bigint"
+
+
+def reached(depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
+    """Probability that a pair at the threshold meets in some tree at a prefix depth."""
+    return 1 - (1 - threshold**depth) ** trees
 
 
 def depth_for(recall: float = RECALL, threshold: float = THRESHOLD, trees: int = TREES) -> int:
-    """Greatest prefix depth at which a pair at the threshold meets in some tree with the wanted probability."""
+    """Prefixes are widened, from the whole label on, until the recall target is reached."""
     k = LABEL
-    while k > BASE and 1 - (1 - threshold**k) ** trees < recall:
+    while reached(k, threshold, trees) < recall:
         k -= 1
+        if k < HEAD:
+            raise ValueError(f"a recall of {recall} at {threshold} needs prefixes shorter than {HEAD} bytes, or more than {trees} trees")
     return k
 
 
@@ -88,8 +112,8 @@ def shingles(text: str) -> frozenset[str]:
     return frozenset(text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)) if len(text) > SHINGLE else frozenset((text,) if text else ())
 
 
-def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingles, labels [texts, TREES], sketches, four bits of every function [texts, 9]) of texts of at least a shingle."""
+def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles, labels [texts, TREES], sketches) of texts of at least a shingle."""
     lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     ends = np.cumsum(lens)
@@ -109,9 +133,9 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
     x = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    least = np.empty((TREES * LABEL + EXTRA, len(texts)), dtype=np.uint32)
+    least = np.empty((FUNCTIONS, len(texts)), dtype=np.uint32)
     buf = np.empty_like(x)
-    for k in range(TREES * LABEL + EXTRA):
+    for k in range(FUNCTIONS):
         np.bitwise_xor(x, _XOR[k], out=buf)
         np.multiply(buf, _MUL[k], out=buf)
         np.minimum.reduceat(buf, starts, out=least[k])
@@ -122,22 +146,18 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     labels = np.zeros((len(texts), TREES), dtype=np.int64)
     for t in range(TREES):
         for j in range(LABEL):
-            labels[:, t] = (labels[:, t] << 8) | byte[t * LABEL + j]
+            labels[:, t] = (labels[:, t] << 8) | byte[(t * STEP + j) % FUNCTIONS]
     sketch = np.zeros(len(texts), dtype=np.uint64)
     for k in range(64):
         sketch |= ((mixed[k] >> np.uint32(9)) & np.uint32(1)).astype(np.uint64) << np.uint64(k)
-    fours = (mixed >> np.uint32(20) & np.uint32(15)).astype(np.uint64)
-    packed = np.zeros((len(texts), -(-len(fours) // 16)), dtype=np.uint64)
-    for k, four in enumerate(fours):
-        packed[:, k // 16] |= four << np.uint64(4 * (k % 16))
-    return sizes, labels, sketch.view(np.int64), packed.view(np.int64)
+    return sizes, labels, sketch.view(np.int64)
 
 
-_SIGNED = "ord bigint, h1 bigint, h2 bigint, n int, labels array<bigint>, sketch bigint, fours array<bigint>"
+_SIGNED = "ord bigint, h1 bigint, h2 bigint, n int, labels array<bigint>, sketch bigint, text string"
 
 
 def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """Signatures of the rows (ord, post, text) that are compared."""
+    """Signatures and normal texts of the rows (ord, post, text) that are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,8 +172,9 @@ def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
                     size += len(texts[has[at]])
                     at += 1
                 own = [texts[k] for k in part]
-                n, labels, sketch, fours = signatures(own)
-                digest = np.array([divmod(xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass")), 1 << 64) for t in own], dtype=np.uint64).view(np.int64)
+                n, labels, sketch = signatures(own)
+                raw = [t.encode("utf-8", "surrogatepass") for t in own]
+                digest = np.array([divmod(xxhash.xxh3_128_intdigest(t), 1 << 64) for t in raw], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array(part)),
@@ -162,23 +183,33 @@ def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, labels.size + 1, TREES, dtype=np.int32)), pa.array(labels.ravel())),
                         pa.array(sketch),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, fours.size + 1, fours.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(fours).ravel())),
+                        pa.array(own, pa.string()),
                     ],
-                    names=["ord", "h1", "h2", "n", "labels", "sketch", "fours"],
+                    names=["ord", "h1", "h2", "n", "labels", "sketch", "text"],
                 )
 
     return spread(rows.select("ord", "post", "text").filter("ord is not null and text is not null")).mapInArrow(run, _SIGNED)
 
 
+_IDS, _BATCHES = 1 << 44, 1 << 12
+
+
 def order_of(space: int, batch: Column, row: Column) -> Column:
-    """Arrival order of a row as one number: name space, batch, id (ids below 2**44, batches below 2**12)."""
+    """Arrival order of a row as one number: name space, batch, id; an id of 2**44 or more, a batch of 2**12 or more, or a negative one is an error."""
     bits = F.shiftleft(F.lit(space).cast("bigint"), 56).bitwiseOR(F.shiftleft(batch.cast("bigint"), 44)).bitwiseOR(row.cast("bigint"))
-    return F.when(batch.isNotNull() & row.isNotNull(), bits)
+    inside = row.between(0, _IDS - 1) & batch.between(0, _BATCHES - 1)
+    # Null ids and batches make the condition null, and the order too.
+    return F.when(inside, bits).when(~inside, F.raise_error(F.concat(F.lit("id or batch out of range: "), row.cast("string"), F.lit(", "), batch.cast("string"))).cast("bigint"))
 
 
 def row_of(order: Column) -> Column:
     """Id of a row by its order."""
-    return order.bitwiseAND(F.lit((1 << 44) - 1))
+    return order.bitwiseAND(F.lit(_IDS - 1))
+
+
+def batch_of(order: Column) -> Column:
+    """Batch of a row by its order."""
+    return F.shiftrightunsigned(order, 44).bitwiseAND(F.lit(_BATCHES - 1)).cast("int")
 
 
 def space_of(order: Column) -> Column:
@@ -191,205 +222,335 @@ def _distinct_texts(signed: DataFrame) -> DataFrame:
     return (
         signed.withColumn("space", space_of(F.col("ord")))
         .groupBy("space", "h1", "h2")
-        .agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"), F.first("fours").alias("fours"))
+        .agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
     )
 
 
 def _entries(texts: DataFrame) -> DataFrame:
-    """Forest entries (route, tail, ord, n, sketch) of distinct texts."""
-    rest = 8 * (LABEL - BASE)
+    """Forest entries (route, label, ord, n, sketch) of distinct texts; the route is name space, tree and head of the label."""
     e = texts.select("ord", "n", "sketch", space_of(F.col("ord")).alias("space"), F.posexplode("labels").alias("tree", "label"))
     tree = (F.col("space") * TREES + F.col("tree")).cast("bigint")
-    return e.select(
-        F.shiftleft(tree, 8 * BASE).bitwiseOR(F.shiftrightunsigned("label", rest)).alias("route"),
-        F.col("label").bitwiseAND(F.lit((1 << rest) - 1)).cast("int").alias("tail"),
-        "ord",
-        "n",
-        "sketch",
-    )
+    return e.select(F.shiftleft(tree, 8 * HEAD).bitwiseOR(F.shiftrightunsigned("label", 8 * (LABEL - HEAD))).alias("route"), "label", "ord", "n", "sketch")
+
+
+def _low(label: Column, depth: int) -> Column:
+    """First label of the range that shares a prefix."""
+    rest = 8 * (LABEL - depth)
+    return F.shiftleft(F.shiftrightunsigned(label, rest), rest)
+
+
+def _wide(entries: DataFrame, depth: int) -> DataFrame:
+    """(route, low, size, leader) of the ranges with more than ``WIDE`` entries."""
+    return entries.groupBy("route", _low(F.col("label"), depth).alias("low")).agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("leader")).filter(F.col("size") > WIDE)
+
+
+# --- the persisted forest -----------------------------------------------------
+
+
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 @dataclass
 class Forest:
-    """A persisted forest: a bucketed table of runs."""
+    """A persisted forest: entries of live runs, texts, and a manifest, under one folder."""
 
     spark: SparkSession
-    name: str
     path: str
     buckets: int
+    runs: dict[int, int] = field(default_factory=dict)
+    version: int = 0
+
+    @classmethod
+    def create(cls, spark: SparkSession, buckets: int | None = None, path: str | None = None) -> Forest:
+        """An empty forest, in the shared folder unless a path is given."""
+        f = cls(spark, path or scratch(spark, "forest"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        f._define()
+        f._save()
+        return f
 
     @classmethod
-    def create(cls, spark: SparkSession, buckets: int | None = None) -> Forest:
-        """An empty forest in the shared folder."""
-        name = f"forest_{uuid.uuid4().hex}"
-        return cls(spark, name, scratch(spark, name), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def append(self, texts: DataFrame) -> Forest:
-        """Add a run of stored distinct texts, sorted within its buckets; their min-hash bits are kept beside it."""
-        texts.select("ord", "fours").write.mode("append").parquet(f"{self.path}-fours")
-        _entries(texts).write.mode("append").bucketBy(self.buckets, "route").sortBy("route", "tail").option("path", self.path).saveAsTable(self.name)
+    def open(cls, spark: SparkSession, path: str) -> Forest:
+        """The forest that an earlier application left under a path."""
+        fs, p = _fs(spark, path)
+        versions = sorted(int(s.getPath().getName()[9:-5]) for s in fs.listStatus(p) if re.fullmatch(r"manifest-\d+\.json", s.getPath().getName()))
+        if not versions:
+            raise ValueError(f"no forest under {path}")
+        kept = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest-{versions[-1]}.json").collect()))
+        if (kept["trees"], kept["step"], kept["label"], kept["head"], kept["shingle"]) != (TREES, STEP, LABEL, HEAD, SHINGLE):
+            raise ValueError("the forest was made with other constants")
+        f = cls(spark, path, kept["buckets"], {int(k): v for k, v in kept["runs"].items()}, versions[-1])
+        f._define()
+        return f
+
+    def _define(self) -> None:
+        # The bucketing is known to a table only; its definition is made anew for every application, the files stay.
+        self.name = f"forest_{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"CREATE TABLE {self.name} ({_ENTRY}, run int) USING parquet OPTIONS (path '{self.path}/entries') PARTITIONED BY (run) CLUSTERED BY (route) SORTED BY (route, label) INTO {self.buckets} BUCKETS"
+        )
+        if self.runs:
+            self.spark.catalog.recoverPartitions(self.name)
+
+    def _save(self) -> None:
+        """A new version of the manifest: what it doesn't name is not part of the forest."""
+        self.version += 1
+        kept = {"trees": TREES, "step": STEP, "label": LABEL, "head": HEAD, "shingle": SHINGLE, "buckets": self.buckets, "runs": self.runs}
+        fs, target = _fs(self.spark, f"{self.path}/manifest-{self.version}.json")
+        draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(kept).encode()))
+        out.close()
+        fs.rename(draft, target)
+
+    def _write(self, entries: DataFrame, run: int) -> int:
+        """Write a run, one sorted file a bucket; the number of its entries."""
+        by_bucket = entries.select("route", "label", "ord", "n", "sketch", F.lit(run).alias("run")).repartition(self.buckets, "route")
+        by_bucket.write.format("parquet").mode("append").partitionBy("run").bucketBy(self.buckets, "route").sortBy("route", "label").option("path", f"{self.path}/entries").saveAsTable(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        own = self.spark.table(self.name).filter(F.col("run") == run)
+        n = own.count()
+        if n > WIDE:
+            _wide(own, depth_for()).write.mode("overwrite").parquet(f"{self.path}/wide/run={run}")
+        return n
+
+    def append(self, texts: DataFrame, normal_texts: DataFrame | None = None) -> Forest:
+        """Add stored distinct texts as a run, with their normal texts (ord, text) unless these are there already."""
+        run = max(self.runs, default=-1) + 1
+        if normal_texts is not None:
+            normal_texts.select("ord", "text").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/texts/run={run}")
+        self.runs[run] = self._write(_entries(texts), run)
+        self._save()
         return self
 
     def entries(self) -> DataFrame:
-        """All runs."""
-        return self.spark.table(self.name)
-
-    def fours(self) -> DataFrame:
-        """(ord, fours) of all texts."""
-        return self.spark.read.schema("ord bigint, fours array<bigint>").parquet(f"{self.path}-fours")
+        """Entries of all live runs."""
+        if not self.runs:
+            return self.spark.createDataFrame([], _ENTRY + ", run int")
+        return self.spark.table(self.name).filter(F.col("run").isin(list(self.runs) or [-1]))
+
+    def texts(self) -> DataFrame:
+        """(ord, text) of the accepted rows."""
+        return self.spark.read.schema("ord bigint, text string").option("recursiveFileLookup", "true").parquet(f"{self.path}/texts") if self.runs else self.spark.createDataFrame([], "ord bigint, text string")
+
+    def wide_ranges(self, depth: int) -> DataFrame | None:
+        """Ranges of more than ``WIDE`` texts in a run, with their first text; None if there are none."""
+        if depth != depth_for():
+            return _wide(self.entries(), depth)
+        paths = [f"{self.path}/wide/run={r}" for r, n in self.runs.items() if n > WIDE]
+        if not paths:
+            return None
+        wide = self.spark.read.schema("route bigint, low bigint, size bigint, leader bigint").parquet(*paths)
+        return None if wide.isEmpty() else wide.groupBy("route", "low").agg(F.min("leader").alias("leader"))
 
     def merge(self) -> Forest:
-        """The same entries as one sorted run."""
-        new = Forest.create(self.spark, self.buckets)
-        self.entries().repartition(self.buckets, "route").write.bucketBy(self.buckets, "route").sortBy("route", "tail").option("path", new.path).saveAsTable(new.name)
-        self.fours().write.parquet(f"{new.path}-fours")
-        self.drop()
-        return new
+        """One sorted run instead of the small ones; a run ``TIER`` times as large as all smaller ones together is left alone."""
+        small, total = [], 0
+        for run, n in sorted(self.runs.items(), key=lambda x: x[1]):
+            if small and len(small) > 1 and n >= TIER * total:
+                break
+            small.append(run)
+            total += n
+        if len(small) < 2:
+            return self
+        new = max(self.runs) + 1
+        n = self._write(self.spark.table(self.name).filter(F.col("run").isin(small)), new)
+        self.runs = {r: k for r, k in self.runs.items() if r not in small} | {new: n}
+        self._save()
+        for r in small:
+            drop_path(self.spark, f"{self.path}/entries/run={r}")
+            drop_path(self.spark, f"{self.path}/wide/run={r}")
+        self.spark.catalog.refreshTable(self.name)
+        return self
+
+    def close(self) -> None:
+        """Forget the forest in this application; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def drop(self) -> None:
         """Delete the forest."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.close()
         drop_path(self.spark, self.path)
-        drop_path(self.spark, f"{self.path}-fours")
 
 
-def candidates(new: DataFrame, old: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(dup, kept): orders of entries that meet in some tree, ``kept`` the earlier; each pair once."""
-    a, b = new.alias("a"), old.alias("b")
-    rest = 8 * (LABEL - BASE)
-    same_tail = F.shiftright(F.col("a.tail").bitwiseXOR(F.col("b.tail")), rest - 8 * (depth - BASE)) == 0 if depth > BASE else F.lit(True)
-    near = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= SKETCH_BITS
+# --- look-up, verification, decision ---------------------------------------------
+
+
+class _Steps:
+    """Tables of one delivery, deleted together."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.n = spark, scratch(spark, "delivery"), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        drop_path(self.spark, self.base)
+
+
+def _possible(threshold: float, exact: bool) -> Column:
+    """Whether a pair (a, b) may reach the threshold, by set sizes and sketches."""
     sizes = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n")
-    met = a.join(b, (F.col("a.route") == F.col("b.route")) & (F.col("b.ord") < F.col("a.ord")) & same_tail & near & sizes)
-    return met.select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
+    return sizes if exact else sizes & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= SKETCH_BITS)
 
 
-def alike(pairs: DataFrame, dup_bits: DataFrame, kept_bits: DataFrame) -> DataFrame:
-    """The pairs of which at least ``AGREE`` min-hash functions agree, by four bits each."""
-    a = dup_bits.select(F.col("ord").alias("dup"), F.col("fours").alias("a"))
-    b = kept_bits.select(F.col("ord").alias("kept"), F.col("fours").alias("b"))
-    both = pairs.join(a, "dup").join(b, "kept")
-    differ = None
-    for k in range(-(-(TREES * LABEL + EXTRA) // 16)):
-        x = F.element_at("a", k + 1).bitwiseXOR(F.element_at("b", k + 1))
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        n = F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-        differ = n if differ is None else differ + n
-    return both.filter(differ <= TREES * LABEL + EXTRA - AGREE).select("dup", "kept")
+def lookups(entries: DataFrame, depth: int) -> DataFrame:
+    """(route, low, high, ord, n, sketch): the label range that each entry looks for."""
+    low = _low(F.col("label"), depth)
+    return entries.select("route", low.alias("low"), low.bitwiseOR(F.lit((1 << 8 * (LABEL - depth)) - 1)).alias("high"), "ord", "n", "sketch")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """The pairs whose texts repeat each other, by exact set similarity of the normal texts.
+def candidates(asked: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, exact: bool = False, before: DataFrame | None = None) -> DataFrame:
+    """(dup, kept): look-ups and the earlier entries within their ranges, each pair once; with ``before`` (ord, best) only entries below best."""
+    a = asked if before is None else asked.join(before.hint("broadcast") if before.count() <= BROADCAST_IDS else before, "ord", "left")
+    a, b = a.alias("a"), entries.alias("b")
+    inside = (F.col("a.route") == F.col("b.route")) & F.col("b.label").between(F.col("a.low"), F.col("a.high")) & (F.col("b.ord") < F.col("a.ord"))
+    if before is not None:
+        inside = inside & (F.col("a.best").isNull() | (F.col("b.ord") < F.col("a.best")))
+    return b.join(a.hint("shuffle_hash"), inside & _possible(threshold, exact)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
 
-    ``pairs`` is stored; only texts that occur in it are cleaned again.
-    """
-    ids = pairs.select(F.col("dup").alias("ord")).union(pairs.select(F.col("kept").alias("ord"))).distinct()
-    n = ids.count()
-    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
 
-    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # Packed for the joins, which send a text once for each of its pairs.
-            pack = zstandard.ZstdCompressor(level=3).compress
-            texts = normal(b.column(2).to_pylist(), b.column(1).to_pylist(), least)
-            packed = [pack(t.encode("utf-8", "surrogatepass")) if t is not None else None for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["ord", "t"])
+def verified(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The stored pairs whose texts repeat each other, by exact set similarity of the normal texts (ord, text)."""
+    n = pairs.count()
+    if not n:
+        return pairs
 
-    texts = rows.select("ord", "post", "text").filter("text is not null").join(ids, "ord", "left_semi").mapInArrow(prepare, "ord bigint, t binary")
-    both = pairs.join(texts.select(F.col("ord").alias("dup"), F.col("t").alias("a")), "dup").join(texts.select(F.col("ord").alias("kept"), F.col("t").alias("b")), "kept")
+    small = n <= BROADCAST_IDS
+    ids = pairs.select(F.col("dup").alias("ord")).distinct()
+    own = dup_texts.select("ord", "text").join(F.broadcast(ids) if small else ids, "ord", "left_semi").select(F.col("ord").alias("dup"), F.col("text").alias("a"))
+    both = kept_texts.select(F.col("ord").alias("kept"), F.col("text").alias("b")).join(F.broadcast(pairs) if small else pairs, "kept").join(own, "dup")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        # Of a text's pairs, which mostly come together, its own set is made once.
+        last, set_of_last = None, frozenset()
         for b in batches:
-            hit, last, own = [], None, frozenset()
-            # Pairs come sorted by the kept text.
-            for x, y in zip(b.column(3).to_pylist(), b.column(2).to_pylist()):
+            hit = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if x == y:
                     hit.append(True)
                     continue
                 if x != last:
-                    last, own = x, shingles(unpack(x).decode("utf-8", "surrogatepass"))
-                other = shingles(unpack(y).decode("utf-8", "surrogatepass"))
-                common = len(own & other)
-                hit.append(common >= threshold * (len(own) + len(other) - common))
+                    last, set_of_last = x, shingles(x)
+                other = shingles(y)
+                common = len(set_of_last & other)
+                hit.append(common >= threshold * (len(set_of_last) + len(other) - common))
             yield b.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
     return both.select("dup", "kept", "a", "b").mapInArrow(check, "dup bigint, kept bigint")
 
 
-def resolve(edges: DataFrame, first_new: Callable[[Column], Column]) -> DataFrame:
-    """(dup, kept) of the rejected texts by arrival order; ``edges`` are stored verified pairs.
+def resolve(edges: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(dup, kept) of the rejected texts of a delivery by arrival order; ``edges`` are stored verified pairs of its texts.
 
-    ``first_new`` tells a new row's order from the history's.  Rounds: a text without an undecided or
-    accepted earlier neighbour is accepted, one with an accepted earlier neighbour rejected.  Each
-    round is written to the shared folder; the rounds are as many as the longest chain of texts
-    that hang on each other's fate.
+    Rounds: a text without an undecided or accepted earlier neighbour is accepted, one with an accepted earlier
+    neighbour rejected.  The rounds are as many as the longest chain of texts that hang on each other's fate.
     """
-    known = edges.filter(~first_new(F.col("kept")))
-    by_history = stored(known.groupBy("dup").agg(F.min("kept").alias("kept")), "resolved")
-    among = edges.filter(first_new(F.col("kept")))
-    among = among.join(by_history.select("dup"), "dup", "left_anti").join(by_history.select(F.col("dup").alias("kept")), "kept", "left_anti")
-    open_ = stored(among.select("dup", "kept"), "open")
-    all_open, decided = open_, by_history
-    parts = [by_history]
-    accepted: list[DataFrame] = []
-    while True:
+    open_, sure = edges, None
+    while not open_.isEmpty():
         later = open_.select(F.col("dup").alias("node")).distinct()
-        # Earlier neighbours that aren't themselves later than anything undecided are accepted now.
-        safe = stored(open_.select(F.col("kept").alias("node")).distinct().join(later, "node", "left_anti"), "accepted")
-        if safe.isEmpty():
-            break
-        accepted.append(safe)
+        # Earlier neighbours that aren't themselves later than anything undecided are accepted now; the earliest always is.
+        safe = step(open_.select(F.col("kept").alias("node")).distinct().join(later, "node", "left_anti"))
+        sure = safe if sure is None else sure.union(safe)
         gone = open_.join(safe.select(F.col("node").alias("kept")), "kept", "left_semi").select("dup").distinct()
-        left = open_.join(gone, "dup", "left_anti").join(gone.select(F.col("dup").alias("kept")), "kept", "left_anti")
         # A rejected text no longer matters to later ones; those left without neighbours are accepted by themselves.
-        open_ = stored(left.select("dup", "kept"), "open")
-        del decided
-        decided = gone
-    if accepted:
-        sure = accepted[0]
-        for s in accepted[1:]:
-            sure = sure.union(s)
-        parts.append(all_open.join(sure.distinct().select(F.col("node").alias("kept")), "kept", "left_semi").groupBy("dup").agg(F.min("kept").alias("kept")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def admit(forest: Forest, rows: DataFrame, is_new: Callable[[Column], Column], threshold: float = THRESHOLD, recall: float = RECALL, least: int = LEAST, commit: bool = True) -> DataFrame:
+        open_ = step(open_.join(gone, "dup", "left_anti").join(gone.select(F.col("dup").alias("kept")), "kept", "left_anti").select("dup", "kept"))
+    if sure is None:
+        return edges
+    return edges.join(sure.select(F.col("node").alias("kept")), "kept", "left_semi").groupBy("dup").agg(F.min("kept").alias("kept"))
+
+
+def _against_history(forest: Forest, entries: DataFrame, n: int, signed: DataFrame, depth: int, threshold: float, exact: bool, step: _Steps) -> DataFrame:
+    """(dup, kept) of the delivery's texts that repeat the history, with the first text they repeat."""
+    asked, old = lookups(entries, depth), forest.entries()
+    if n * TREES <= FEW:
+        # Told as values, the routes let the scan choose its buckets and row groups.
+        old = old.filter(F.col("route").isin([r[0] for r in asked.select("route").distinct().collect()]))
+    wide, best = forest.wide_ranges(depth), None
+    if wide is not None:
+        first = asked.join(wide, ["route", "low"]).select(F.col("ord").alias("dup"), F.col("leader").alias("kept")).distinct()
+        found = step(verified(step(first), signed, forest.texts(), threshold))
+        best = step(found.groupBy(F.col("dup").alias("ord")).agg(F.min("kept").alias("best")))
+    pairs = step(candidates(asked, old, threshold, exact, best))
+    found = verified(pairs, signed, forest.texts(), threshold)
+    if best is not None:
+        found = found.unionByName(best.select(F.col("ord").alias("dup"), F.col("best").alias("kept")))
+    return step(found.groupBy("dup").agg(F.min("kept").alias("kept")))
+
+
+def _among_themselves(entries: DataFrame, signed: DataFrame, depth: int, threshold: float, exact: bool, step: _Steps) -> DataFrame:
+    """(dup, kept) of the delivery's texts that repeat each other, none of which repeats the history."""
+    live, gone = lookups(entries, depth).withColumn("label", F.col("low")), None
+    while True:
+        wide = _wide(live, depth)
+        if wide.isEmpty():
+            break
+        live, wide = step(live), step(wide)
+        # Texts that are first in all their wide ranges are leaders of this round: what they may repeat lies in narrow ranges.
+        in_wide = step(live.join(wide.select("route", "low", "leader"), ["route", "low"]).select("route", "low", "ord", "n", "sketch", "leader"))
+        lead = in_wide.groupBy("ord").agg(F.every(F.col("ord") == F.col("leader")).alias("leads")).filter("leads").select("ord")
+        earlier = candidates(live.join(lead, "ord", "left_semi"), live, threshold, exact)
+        not_sure = verified(step(earlier), signed, signed, threshold).select(F.col("dup").alias("ord")).distinct()
+        sure = step(lead.join(not_sure, "ord", "left_anti"))
+        follow = in_wide.filter(F.col("ord") > F.col("leader")).join(sure.select(F.col("ord").alias("leader")), "leader", "left_semi")
+        pairs = step(follow.select(F.col("ord").alias("dup"), F.col("leader").alias("kept")).distinct())
+        repeat = step(verified(pairs, signed, signed, threshold).select(F.col("dup").alias("ord")).distinct())
+        if repeat.isEmpty():
+            break
+        gone = repeat if gone is None else gone.union(repeat)
+        live = step(live.join(repeat, "ord", "left_anti"))
+    edges = step(verified(step(candidates(live, live, threshold, exact)), signed, signed, threshold))
+    rejected = resolve(edges, step)
+    if gone is None:
+        return rejected
+    rejected = step(rejected)
+    # Of the texts that left their ranges: the first accepted one that each of them repeats.
+    accepted = live.join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti")
+    asked = lookups(entries, depth).join(gone.distinct(), "ord", "left_semi")
+    found = verified(step(candidates(asked, accepted, threshold, exact)), signed, signed, threshold)
+    return rejected.unionByName(found.groupBy("dup").agg(F.min("kept").alias("kept")))
+
+
+def admit(
+    forest: Forest, rows: DataFrame, is_new: Callable[[Column], Column] | None = None, threshold: float = THRESHOLD, recall: float = RECALL, least: int = LEAST, commit: bool = True, exact: bool = False
+) -> DataFrame:
     """(dup, kept) orders of the rejected rows of a delivery.
 
-    ``rows`` (ord, post, text) holds the delivery and the rows the forest knows, of which only
-    candidates' texts are read; ``is_new`` tells the delivery.  With ``commit`` the accepted texts
-    are added to the forest as a run.
+    ``rows`` (ord, post, text) holds the delivery; if it holds more, ``is_new`` tells the delivery, and the rest isn't
+    read.  With ``commit`` the accepted texts are added to the forest as a run.
     """
-    spark = forest.spark
-    signed = stored(sign(rows.filter(is_new(F.col("ord"))), least), "signed")
-    texts = stored(_distinct_texts(signed), "texts")
-    pending = Forest.create(spark, forest.buckets).append(texts)
-    depth = depth_for(recall, threshold)
-    new = pending.entries()
-    with_old, with_new = candidates(new, forest.entries(), depth, threshold), candidates(new, new, depth, threshold)
-    pairs = stored(alike(with_old, pending.fours(), forest.fours()).union(alike(with_new, pending.fours(), pending.fours())), "pairs")
-    pending.drop()
-    release(spark)
-    edges = stored(verified(pairs, rows, threshold, least), "edges")
+    spark, depth, step = forest.spark, depth_for(recall, threshold), _Steps(forest.spark)
+    signed = step(sign(rows if is_new is None else rows.filter(is_new(F.col("ord"))), least))
+    texts = step(_distinct_texts(signed))
+    entries = _entries(texts)
+    by_history = _against_history(forest, entries, texts.count(), signed, depth, threshold, exact, step)
+    known = by_history.select(F.col("dup").alias("ord"))
+    among = _among_themselves(entries.join(known, "ord", "left_anti"), signed, depth, threshold, exact, step)
+    rejected = step(by_history.unionByName(among))
     release(spark)
-    rejected = stored(resolve(edges, is_new), "rejected")
-    if commit:
-        forest.append(texts.join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti"))
     # Copies get their text's result; of an accepted text every later copy repeats the first.
     fate = texts.select("space", "h1", "h2", F.col("ord").alias("first")).join(rejected.select(F.col("dup").alias("first"), "kept"), "first", "left")
     own = signed.select("ord", "h1", "h2", space_of(F.col("ord")).alias("space"))
     out = own.join(fate, ["space", "h1", "h2"]).filter(F.col("kept").isNotNull() | (F.col("ord") > F.col("first")))
-    return out.select(F.col("ord").alias("dup"), F.coalesce("kept", "first").alias("kept"))
+    result = stored(out.select(F.col("ord").alias("dup"), F.coalesce("kept", "first").alias("kept")), "p2")
+    if commit:
+        accepted = texts.join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti")
+        forest.append(accepted, signed.join(accepted.select("ord"), "ord", "left_semi"))
+    step.drop()
+    return result
 
 
-def build(spark: SparkSession, rows: DataFrame, least: int = LEAST, buckets: int | None = None) -> Forest:
+def build(spark: SparkSession, rows: DataFrame, least: int = LEAST, buckets: int | None = None, path: str | None = None) -> Forest:
     """Forest of an accepted history (ord, post, text)."""
-    texts = stored(_distinct_texts(sign(rows, least)), "texts")
-    forest = Forest.create(spark, buckets).append(texts)
-    drop_path(spark, texts.inputFiles()[0].rpartition("/")[0]) if texts.inputFiles() else None
+    forest, step = Forest.create(spark, buckets, path), _Steps(spark)
+    signed = step(sign(rows, least))
+    texts = step(_distinct_texts(signed))
+    forest.append(texts, signed.join(texts.select("ord"), "ord", "left_semi"))
+    step.drop()
     release(spark)
     return forest

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.common import stored
 from . import history, language, mixing, pii, residue, splitting, terms, tokens
 
 
@@ -39,20 +38,31 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows of batches 1 to 9 that repeat a row accepted before them, with the first accepted one.
 
-    The forest is made of batch 0 once; the nine batches are one delivery in arrival order, which
-    decides every row as nine deliveries would.
+    The forest is made of batch 0; each later batch is a delivery of its own, which is looked up in the forest and leaves
+    its accepted texts there; small runs are merged as they gather.
     """
     spaces = {"documents": ("doc_id", F.col("source") == "djelfa_info"), "youtube_comments": ("row_id", F.lit(False))}
-    rows = None
-    for space, (t, (i, post)) in enumerate(spaces.items()):
-        part = _t(spark, d, t).select(history.order_of(space, F.col("batch_no"), F.col(i)).alias("ord"), F.coalesce(post, F.lit(False)).alias("post"), "text")
-        rows = part if rows is None else rows.unionByName(part)
-    batch = lambda c: F.shiftrightunsigned(c, 44).bitwiseAND(F.lit(4095))
-    forest = history.build(spark, rows.filter(batch(F.col("ord")) == 0))
-    found = stored(history.admit(forest, rows, lambda c: batch(c) > 0, commit=False), "p2")
+
+    def delivery(which: Column) -> DataFrame:
+        parts = []
+        for space, (t, (i, post)) in enumerate(spaces.items()):
+            own = _t(spark, d, t).filter(which)
+            parts.append(own.select(history.order_of(space, F.col("batch_no"), F.col(i)).alias("ord"), F.coalesce(post, F.lit(False)).alias("post"), "text"))
+        return parts[0].unionByName(parts[1])
+
+    later = [_t(spark, d, t).select("batch_no").filter("batch_no > 0").distinct() for t in spaces]
+    forest = history.build(spark, delivery(F.col("batch_no") == 0))
+    found = []
+    for no in sorted(r[0] for r in later[0].union(later[1]).distinct().collect()):
+        found.append(history.admit(forest, delivery(F.col("batch_no") == no)))
+        if len(forest.runs) >= history.RUNS:
+            forest.merge()
     forest.drop()
+    out = found[0] if found else spark.createDataFrame([], "dup bigint, kept bigint")
+    for f in found[1:]:
+        out = out.unionByName(f)
     names = F.element_at(F.array(*[F.lit(t) for t in spaces]), history.space_of(F.col("dup")) + 1)
-    return found.select(names.alias("tbl"), history.row_of(F.col("kept")).alias("kept_id"), history.row_of(F.col("dup")).alias("dup_id"))
+    return out.select(names.alias("tbl"), history.row_of(F.col("kept")).alias("kept_id"), history.row_of(F.col("dup")).alias("dup_id"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
