@@ -43,8 +43,8 @@ def _entry(route, label, ord_, n=100, sketch=0):
 
 
 def test_candidates_far_from_the_usual_sketch_distance(spark):
-    # 6.4 of 64 bits differ on average at the threshold: 24 are let through, and all of them if the look-up is exact.
-    sketches = [0, (1 << 24) - 1, (1 << 30) - 1]
+    # 6.4 of 64 bits differ on average at the threshold: 20 are let through, and all of them if the look-up is exact.
+    sketches = [0, (1 << 20) - 1, (1 << 30) - 1]
     df = spark.createDataFrame([_entry(1, 5, k, sketch=s) for k, s in enumerate(sketches)], history._ENTRY)
     asked = history.lookups(df, 5)
     pairs = lambda **o: {tuple(r) for r in history.candidates(asked, df, **o).collect()}
@@ -52,6 +52,25 @@ def test_candidates_far_from_the_usual_sketch_distance(spark):
     assert pairs(exact=True) == {(1, 0), (2, 0), (2, 1)}
 
 
+def test_pairs_are_verified_well_below_the_usual_agreement(spark):
+    # 64 of 80 functions agree on average at the threshold, 50 and 46 are let through; four bits each, sixteen to a word.
+    def words(differ):
+        return [x - (1 << 64) if (x := sum(((16 * w + k) < differ) << (4 * k + 3) for k in range(16))) >> 63 else x for w in range(5)]
+
+    df = spark.createDataFrame([(0, words(0)), (1, words(30)), (2, words(34)), (3, words(35))], "ord bigint, fours array<bigint>")
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "dup bigint, kept bigint")
+    assert {tuple(r) for r in history.alike(pairs, df, df).collect()} == {(1, 0), (2, 0)}
+
+
+def test_exact_look_up_gives_the_same(spark):
+    from test_llm import _brute, _frame, _history_rows, _pairs
+
+    rows, _ = _history_rows()
+    forest = history.build(spark, _frame(spark, [r for r in rows if r[0] == 0]))
+    assert _pairs(history.admit(forest, _frame(spark, [r for r in rows if r[0]]), commit=False, exact=True)) == _brute(rows)
+    forest.drop()
+
+
 def test_prefixes_are_widened_until_the_target_is_reached(spark):
     assert history.depth_for(0.9) > history.depth_for(0.995) > history.depth_for(0.9999) >= history.HEAD
     with pytest.raises(ValueError, match="recall"):

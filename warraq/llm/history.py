@@ -17,10 +17,10 @@ in some tree with the wanted probability; a target that even the head of a
 label can't reach is an error.  The history's entries aren't moved: look-ups
 are sent to its buckets, and those of a small delivery read only the buckets
 they fall in.  Pairs whose set sizes exclude the threshold are left out, and
-those whose 64-bit sketches differ by more than ``SKETCH_BITS``, which at the
-threshold happens for fewer than one pair in 10^9 (``exact`` compares them
-too).  Every other pair is verified by its texts' exact similarity; the raw
-history is never read.
+those whose signatures exclude it for all but about two pairs in a million at
+the threshold (``SKETCH_BITS``, ``AGREE``; ``exact`` verifies them too).  Every
+other pair is verified by its texts' exact similarity; the raw history is
+never read.
 
 What is decided (arrival order is ``ord``): rows of the history are accepted;
 a new row is rejected if it repeats a row accepted before it, and ``kept`` is
@@ -63,12 +63,18 @@ SHINGLE = 4
 THRESHOLD = 0.8
 RECALL = 0.995
 LEAST = 60
-#: Sketch bits that may differ; at the threshold 6.4 of 64 do on average, with a deviation of 2.4.
-SKETCH_BITS = 24
+#: Sketch bits that may differ: of 64, at the threshold 6.4 do on average and more than 20 for one pair in 1.8 million.
+SKETCH_BITS = 20
+#: Functions that must agree: of 80, at the threshold 64 do on average and fewer than 46 for one pair in 800,000.
+AGREE = 46
 #: Texts of a bucket that are paired out; wider buckets are thinned by their first texts before.
 WIDE = 64
-#: Ids of candidates up to this many are broadcast (16 MB), more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids of candidates up to this many are broadcast (3 MB), more are joined by shuffle.
+BROADCAST_IDS = 200_000
+#: Shingle sets of texts that a worker keeps while it verifies, in shingles.
+MEMO = 4_000_000
+#: Nearness to the threshold within which hashed sets don't decide.
+MARGIN = 0.01
 #: Look-ups up to this many are told to the scan, so that it reads only their buckets.
 FEW = 2_000
 #: Live runs from which ``merge`` is worth while, and how much larger than the rest a run must be to be left alone by it.
@@ -112,8 +118,21 @@ def shingles(text: str) -> frozenset[str]:
     return frozenset(text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)) if len(text) > SHINGLE else frozenset((text,) if text else ())
 
 
-def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingles, labels [texts, TREES], sketches) of texts of at least a shingle."""
+def hashed(text: str) -> np.ndarray:
+    """Sorted distinct 63-bit hashes of the shingles of a text longer than a shingle."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    m = len(cp) - SHINGLE + 1
+    h = np.zeros(m, dtype=np.uint64)
+    for k in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + cp[k : m + k]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = np.sort(h >> np.uint64(1))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles, labels [texts, TREES], sketches, four bits of every function [texts, 5]) of texts of at least a shingle."""
     lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     ends = np.cumsum(lens)
@@ -150,10 +169,14 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sketch = np.zeros(len(texts), dtype=np.uint64)
     for k in range(64):
         sketch |= ((mixed[k] >> np.uint32(9)) & np.uint32(1)).astype(np.uint64) << np.uint64(k)
-    return sizes, labels, sketch.view(np.int64)
+    fours = (mixed >> np.uint32(20) & np.uint32(15)).astype(np.uint64)
+    packed = np.zeros((len(texts), FUNCTIONS // 16), dtype=np.uint64)
+    for k, four in enumerate(fours):
+        packed[:, k // 16] |= four << np.uint64(4 * (k % 16))
+    return sizes, labels, sketch.view(np.int64), packed.view(np.int64)
 
 
-_SIGNED = "ord bigint, h1 bigint, h2 bigint, n int, labels array<bigint>, sketch bigint, text string"
+_SIGNED = "ord bigint, h1 bigint, h2 bigint, n int, labels array<bigint>, sketch bigint, fours array<bigint>, text string"
 
 
 def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
@@ -172,7 +195,7 @@ def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
                     size += len(texts[has[at]])
                     at += 1
                 own = [texts[k] for k in part]
-                n, labels, sketch = signatures(own)
+                n, labels, sketch, fours = signatures(own)
                 raw = [t.encode("utf-8", "surrogatepass") for t in own]
                 digest = np.array([divmod(xxhash.xxh3_128_intdigest(t), 1 << 64) for t in raw], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -183,9 +206,10 @@ def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, labels.size + 1, TREES, dtype=np.int32)), pa.array(labels.ravel())),
                         pa.array(sketch),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, fours.size + 1, fours.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(fours).ravel())),
                         pa.array(own, pa.string()),
                     ],
-                    names=["ord", "h1", "h2", "n", "labels", "sketch", "text"],
+                    names=["ord", "h1", "h2", "n", "labels", "sketch", "fours", "text"],
                 )
 
     return spread(rows.select("ord", "post", "text").filter("ord is not null and text is not null")).mapInArrow(run, _SIGNED)
@@ -316,10 +340,10 @@ class Forest:
         return n
 
     def append(self, texts: DataFrame, normal_texts: DataFrame | None = None) -> Forest:
-        """Add stored distinct texts as a run, with their normal texts (ord, text) unless these are there already."""
+        """Add distinct texts as a run, with their normal texts and min-hash bits (ord, text, fours) unless these are there already."""
         run = max(self.runs, default=-1) + 1
         if normal_texts is not None:
-            normal_texts.select("ord", "text").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/texts/run={run}")
+            normal_texts.select("ord", "text", "fours").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/texts/run={run}")
         self.runs[run] = self._write(_entries(texts), run)
         self._save()
         return self
@@ -331,8 +355,9 @@ class Forest:
         return self.spark.table(self.name).filter(F.col("run").isin(list(self.runs) or [-1]))
 
     def texts(self) -> DataFrame:
-        """(ord, text) of the accepted rows."""
-        return self.spark.read.schema("ord bigint, text string").option("recursiveFileLookup", "true").parquet(f"{self.path}/texts") if self.runs else self.spark.createDataFrame([], "ord bigint, text string")
+        """(ord, text, fours) of the accepted texts."""
+        kept = "ord bigint, text string, fours array<bigint>"
+        return self.spark.read.schema(kept).option("recursiveFileLookup", "true").parquet(f"{self.path}/texts") if self.runs else self.spark.createDataFrame([], kept)
 
     def wide_ranges(self, depth: int) -> DataFrame | None:
         """Ranges of more than ``WIDE`` texts in a run, with their first text; None if there are none."""
@@ -415,6 +440,18 @@ def candidates(asked: DataFrame, entries: DataFrame, threshold: float = THRESHOL
     return b.join(a.hint("shuffle_hash"), inside & _possible(threshold, exact)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
 
 
+def alike(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame) -> DataFrame:
+    """The pairs of which at least ``AGREE`` min-hash functions agree, by four bits each (ord, fours)."""
+    a = dup_texts.select(F.col("ord").alias("dup"), F.col("fours").alias("a"))
+    b = kept_texts.select(F.col("ord").alias("kept"), F.col("fours").alias("b"))
+    differ = F.lit(0)
+    for k in range(FUNCTIONS // 16):
+        x = F.element_at("a", k + 1).bitwiseXOR(F.element_at("b", k + 1))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return pairs.join(a, "dup").join(b, "kept").filter(differ <= FUNCTIONS - AGREE).select("dup", "kept")
+
+
 def verified(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The stored pairs whose texts repeat each other, by exact set similarity of the normal texts (ord, text)."""
     n = pairs.count()
@@ -427,19 +464,39 @@ def verified(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame, thre
     both = kept_texts.select(F.col("ord").alias("kept"), F.col("text").alias("b")).join(F.broadcast(pairs) if small else pairs, "kept").join(own, "dup")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of a text's pairs, which mostly come together, its own set is made once.
-        last, set_of_last = None, frozenset()
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def set_of(ord_: int, text: str) -> np.ndarray:
+            nonlocal held
+            own = known.get(ord_)
+            if own is None:
+                own = hashed(text)
+                if held > MEMO:
+                    known.clear()
+                    held = 0
+                known[ord_] = own
+                held += len(own)
+            return own
+
         for b in batches:
             hit = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if x == y:
-                    hit.append(True)
+            for dup, kept, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if x == y or min(len(x), len(y)) <= SHINGLE:
+                    own, other = shingles(x), shingles(y)
+                    hit.append(x == y or len(own & other) >= threshold * len(own | other))
                     continue
-                if x != last:
-                    last, set_of_last = x, shingles(x)
-                other = shingles(y)
-                common = len(set_of_last & other)
-                hit.append(common >= threshold * (len(set_of_last) + len(other) - common))
+                own, other = set_of(dup, x), set_of(kept, y)
+                both_sorted = np.sort(np.concatenate((own, other)), kind="stable")
+                common = int((both_sorted[1:] == both_sorted[:-1]).sum())
+                share = common / (len(own) + len(other) - common)
+                if abs(share - threshold) <= MARGIN:
+                    # Hashes of different shingles may meet: near the threshold the shingles themselves decide.
+                    one, two = shingles(x), shingles(y)
+                    common = len(one & two)
+                    hit.append(common >= threshold * (len(one) + len(two) - common))
+                else:
+                    hit.append(share > threshold)
             yield b.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
     return both.select("dup", "kept", "a", "b").mapInArrow(check, "dup bigint, kept bigint")
@@ -476,7 +533,8 @@ def _against_history(forest: Forest, entries: DataFrame, n: int, signed: DataFra
         first = asked.join(wide, ["route", "low"]).select(F.col("ord").alias("dup"), F.col("leader").alias("kept")).distinct()
         found = step(verified(step(first), signed, forest.texts(), threshold))
         best = step(found.groupBy(F.col("dup").alias("ord")).agg(F.min("kept").alias("best")))
-    pairs = step(candidates(asked, old, threshold, exact, best))
+    met = candidates(asked, old, threshold, exact, best)
+    pairs = step(met if exact else alike(met, signed, forest.texts()))
     found = verified(pairs, signed, forest.texts(), threshold)
     if best is not None:
         found = found.unionByName(best.select(F.col("ord").alias("dup"), F.col("best").alias("kept")))
@@ -486,6 +544,11 @@ def _against_history(forest: Forest, entries: DataFrame, n: int, signed: DataFra
 def _among_themselves(entries: DataFrame, signed: DataFrame, depth: int, threshold: float, exact: bool, step: _Steps) -> DataFrame:
     """(dup, kept) of the delivery's texts that repeat each other, none of which repeats the history."""
     live, gone = lookups(entries, depth).withColumn("label", F.col("low")), None
+
+    def checked(asked: DataFrame, among: DataFrame) -> DataFrame:
+        met = candidates(asked, among, threshold, exact)
+        return verified(step(met if exact else alike(met, signed, signed)), signed, signed, threshold)
+
     while True:
         wide = _wide(live, depth)
         if wide.isEmpty():
@@ -494,8 +557,7 @@ def _among_themselves(entries: DataFrame, signed: DataFrame, depth: int, thresho
         # Texts that are first in all their wide ranges are leaders of this round: what they may repeat lies in narrow ranges.
         in_wide = step(live.join(wide.select("route", "low", "leader"), ["route", "low"]).select("route", "low", "ord", "n", "sketch", "leader"))
         lead = in_wide.groupBy("ord").agg(F.every(F.col("ord") == F.col("leader")).alias("leads")).filter("leads").select("ord")
-        earlier = candidates(live.join(lead, "ord", "left_semi"), live, threshold, exact)
-        not_sure = verified(step(earlier), signed, signed, threshold).select(F.col("dup").alias("ord")).distinct()
+        not_sure = checked(live.join(lead, "ord", "left_semi"), live).select(F.col("dup").alias("ord")).distinct()
         sure = step(lead.join(not_sure, "ord", "left_anti"))
         follow = in_wide.filter(F.col("ord") > F.col("leader")).join(sure.select(F.col("ord").alias("leader")), "leader", "left_semi")
         pairs = step(follow.select(F.col("ord").alias("dup"), F.col("leader").alias("kept")).distinct())
@@ -504,7 +566,7 @@ def _among_themselves(entries: DataFrame, signed: DataFrame, depth: int, thresho
             break
         gone = repeat if gone is None else gone.union(repeat)
         live = step(live.join(repeat, "ord", "left_anti"))
-    edges = step(verified(step(candidates(live, live, threshold, exact)), signed, signed, threshold))
+    edges = step(checked(live, live))
     rejected = resolve(edges, step)
     if gone is None:
         return rejected
@@ -512,7 +574,7 @@ def _among_themselves(entries: DataFrame, signed: DataFrame, depth: int, thresho
     # Of the texts that left their ranges: the first accepted one that each of them repeats.
     accepted = live.join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti")
     asked = lookups(entries, depth).join(gone.distinct(), "ord", "left_semi")
-    found = verified(step(candidates(asked, accepted, threshold, exact)), signed, signed, threshold)
+    found = checked(asked, accepted)
     return rejected.unionByName(found.groupBy("dup").agg(F.min("kept").alias("kept")))
 
 

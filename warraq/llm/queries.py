@@ -14,6 +14,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Batches that p2_found admits as one delivery; the result doesn't depend on it.
+BATCHES = 3
 TABLES = {"documents": "doc_id", "youtube_comments": "row_id", "forum_posts": "row_id"}
 
 
@@ -38,8 +40,8 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows of batches 1 to 9 that repeat a row accepted before them, with the first accepted one.
 
-    The forest is made of batch 0; each later batch is a delivery of its own, which is looked up in the forest and leaves
-    its accepted texts there; small runs are merged as they gather.
+    The forest is made of batch 0; later batches come in deliveries of ``BATCHES``, each of which is looked up in the
+    forest and leaves its accepted texts there; small runs are merged as they gather.
     """
     spaces = {"documents": ("doc_id", F.col("source") == "djelfa_info"), "youtube_comments": ("row_id", F.lit(False))}
 
@@ -53,8 +55,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     later = [_t(spark, d, t).select("batch_no").filter("batch_no > 0").distinct() for t in spaces]
     forest = history.build(spark, delivery(F.col("batch_no") == 0))
     found = []
-    for no in sorted(r[0] for r in later[0].union(later[1]).distinct().collect()):
-        found.append(history.admit(forest, delivery(F.col("batch_no") == no)))
+    numbers = sorted(r[0] for r in later[0].union(later[1]).distinct().collect())
+    for k in range(0, len(numbers), BATCHES):
+        found.append(history.admit(forest, delivery(F.col("batch_no").isin(numbers[k : k + BATCHES]))))
         if len(forest.runs) >= history.RUNS:
             forest.merge()
     forest.drop()
