@@ -361,9 +361,9 @@ def test_small_delivery_reads_only_its_buckets(spark):
     rows, _ = _history_rows()
     forest = history.build(spark, _frame(spark, [r for r in rows if r[0] == 0]), buckets=64)
     text = "a text of which the history holds nothing, that is long enough to be compared with it"
-    asked = history.lookups(history._entries(history._distinct_texts(history.sign(_frame(spark, [(1, 5000, text)])))), 5)
+    asked = history.lookups(history._entries(history.sign(_frame(spark, [(1, 5000, text)]))), 5)
     routes = [r[0] for r in asked.select("route").distinct().collect()]
-    plan = history.candidates(asked, forest.entries().filter(F.col("route").isin(routes)))._jdf.queryExecution().executedPlan().toString()
+    plan = history.candidates(asked, forest.entries().filter(F.col("route").isin(routes)), 5)._jdf.queryExecution().executedPlan().toString()
     assert "SelectedBucketsCount: " in plan and int(plan.split("SelectedBucketsCount: ")[1].split()[0]) <= history.TREES
     # The forest's side of a look-up isn't shuffled.
     assert plan.count("Exchange hashpartitioning(route") == 1
@@ -386,9 +386,6 @@ def test_hot_group_of_near_copies_costs_its_size(spark, monkeypatch, in_history)
     for k in range(300):
         rows.append((1, 1000 + k, " ".join(f"x{r.randrange(10**6)}" for _ in range(20))))
     rows.sort()
-    made = []
-    plain = history.candidates
-    monkeypatch.setattr(history, "candidates", lambda *a, **o: made.append(plain(*a, **o)) or made[-1])
     forest = history.build(spark, _frame(spark, [x for x in rows if x[0] == 0]))
     step_pairs = []
     real = history._Steps.__call__

@@ -47,7 +47,7 @@ def test_candidates_far_from_the_usual_sketch_distance(spark):
     sketches = [0, (1 << 20) - 1, (1 << 30) - 1]
     df = spark.createDataFrame([_entry(1, 5, k, sketch=s) for k, s in enumerate(sketches)], history._ENTRY)
     asked = history.lookups(df, 5)
-    pairs = lambda **o: {tuple(r) for r in history.candidates(asked, df, **o).collect()}
+    pairs = lambda **o: {tuple(r) for r in history.candidates(asked, df, 5, **o).collect()}
     assert pairs() == {(1, 0), (2, 1)}
     assert pairs(exact=True) == {(1, 0), (2, 0), (2, 1)}
 
@@ -78,7 +78,7 @@ def test_prefixes_are_widened_until_the_target_is_reached(spark):
     # Labels of seven bytes that share 6, 5, 4 and 3 bytes with the first.
     base = 0x01020304050607
     df = spark.createDataFrame([_entry(base >> 32, x, k) for k, x in enumerate((base, base ^ 1, base ^ (1 << 9), base ^ (1 << 17), base ^ (1 << 25)))], history._ENTRY)
-    met = {d: {r.dup for r in history.candidates(history.lookups(df, d), df).filter("kept = 0").collect()} for d in (7, 6, 5, 4, 3)}
+    met = {d: {r.dup for r in history.candidates(history.lookups(df, d), df, d).filter("kept = 0").collect()} for d in (7, 6, 5, 4, 3)}
     assert met == {7: set(), 6: {1}, 5: {1, 2}, 4: {1, 2, 3}, 3: {1, 2, 3, 4}}
 
 

@@ -67,8 +67,10 @@ LEAST = 60
 SKETCH_BITS = 20
 #: Functions that must agree: of 80, at the threshold 64 do on average and fewer than 46 for one pair in 800,000.
 AGREE = 46
-#: Texts of a bucket that are paired out; wider buckets are thinned by their first texts before.
+#: Texts of a range that are paired out; wider ranges are thinned by their first texts before.
 WIDE = 64
+#: Wide ranges of the history are found by one text in so many: this only decides which ranges are thinned.
+PROBE = 8
 #: Ids of candidates up to this many are broadcast (3 MB), more are joined by shuffle.
 BROADCAST_IDS = 200_000
 #: Shingle sets of texts that a worker keeps while it verifies, in shingles.
@@ -78,7 +80,7 @@ MARGIN = 0.01
 #: Look-ups up to this many are told to the scan, so that it reads only their buckets.
 FEW = 2_000
 #: Live runs from which ``merge`` is worth while, and how much larger than the rest a run must be to be left alone by it.
-RUNS, TIER = 4, 3
+RUNS, TIER = 3, 1.5
 
 _WS = re.compile(r"\s+")
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 31, size=(2, FUNCTIONS), dtype=np.uint32)
@@ -241,13 +243,11 @@ def space_of(order: Column) -> Column:
     return F.shiftright(order, 56).cast("int")
 
 
-def _distinct_texts(signed: DataFrame) -> DataFrame:
-    """One row a distinct text and name space: its first order."""
-    return (
-        signed.withColumn("space", space_of(F.col("ord")))
-        .groupBy("space", "h1", "h2")
-        .agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
-    )
+def copies_of(signed: DataFrame) -> DataFrame:
+    """(ord, first): the rows whose text occurs before in the same name space, with the first such row."""
+    own = signed.select("ord", "h1", "h2", space_of(F.col("ord")).alias("space"))
+    first = own.groupBy("space", "h1", "h2").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+    return own.join(first, ["space", "h1", "h2"]).filter(F.col("ord") > F.col("first")).select("ord", "first")
 
 
 def _entries(texts: DataFrame) -> DataFrame:
@@ -263,9 +263,9 @@ def _low(label: Column, depth: int) -> Column:
     return F.shiftleft(F.shiftrightunsigned(label, rest), rest)
 
 
-def _wide(entries: DataFrame, depth: int) -> DataFrame:
-    """(route, low, size, leader) of the ranges with more than ``WIDE`` entries."""
-    return entries.groupBy("route", _low(F.col("label"), depth).alias("low")).agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("leader")).filter(F.col("size") > WIDE)
+def _ranges(entries: DataFrame, depth: int) -> DataFrame:
+    """(route, low, size, leader) of the ranges that hold entries."""
+    return entries.groupBy("route", _low(F.col("label"), depth).alias("low")).agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("leader"))
 
 
 # --- the persisted forest -----------------------------------------------------
@@ -284,6 +284,7 @@ class Forest:
     path: str
     buckets: int
     runs: dict[int, int] = field(default_factory=dict)
+    stores: list[int] = field(default_factory=list)
     version: int = 0
 
     @classmethod
@@ -304,7 +305,7 @@ class Forest:
         kept = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest-{versions[-1]}.json").collect()))
         if (kept["trees"], kept["step"], kept["label"], kept["head"], kept["shingle"]) != (TREES, STEP, LABEL, HEAD, SHINGLE):
             raise ValueError("the forest was made with other constants")
-        f = cls(spark, path, kept["buckets"], {int(k): v for k, v in kept["runs"].items()}, versions[-1])
+        f = cls(spark, path, kept["buckets"], {int(k): v for k, v in kept["runs"].items()}, kept["stores"], versions[-1])
         f._define()
         return f
 
@@ -320,7 +321,7 @@ class Forest:
     def _save(self) -> None:
         """A new version of the manifest: what it doesn't name is not part of the forest."""
         self.version += 1
-        kept = {"trees": TREES, "step": STEP, "label": LABEL, "head": HEAD, "shingle": SHINGLE, "buckets": self.buckets, "runs": self.runs}
+        kept = {"trees": TREES, "step": STEP, "label": LABEL, "head": HEAD, "shingle": SHINGLE, "buckets": self.buckets, "runs": self.runs, "stores": self.stores}
         fs, target = _fs(self.spark, f"{self.path}/manifest-{self.version}.json")
         draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.draft-{uuid.uuid4().hex}")
         out = fs.create(draft)
@@ -334,17 +335,23 @@ class Forest:
         by_bucket.write.format("parquet").mode("append").partitionBy("run").bucketBy(self.buckets, "route").sortBy("route", "label").option("path", f"{self.path}/entries").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
         own = self.spark.table(self.name).filter(F.col("run") == run)
-        n = own.count()
-        if n > WIDE:
-            _wide(own, depth_for()).write.mode("overwrite").parquet(f"{self.path}/wide/run={run}")
-        return n
-
-    def append(self, texts: DataFrame, normal_texts: DataFrame | None = None) -> Forest:
-        """Add distinct texts as a run, with their normal texts and min-hash bits (ord, text, fours) unless these are there already."""
+        # Bucketed by route, the ranges are counted where they lie.
+        wide = _ranges(own.filter(F.pmod(F.xxhash64("ord"), F.lit(PROBE)) == 0), depth_for()).filter(F.col("size") > WIDE // PROBE)
+        wide.write.mode("overwrite").parquet(f"{self.path}/wide/run={run}")
+        return own.count()
+
+    def new_store(self) -> tuple[int, str]:
+        """Number and path for the signed texts of a delivery; they belong to the forest once the delivery is appended."""
+        n = max([-1, *self.stores]) + 1
+        path = f"{self.path}/texts/{n}"
+        drop_path(self.spark, path)
+        return n, path
+
+    def append(self, signed: DataFrame, store: int) -> Forest:
+        """Add distinct signed texts, of which the store holds all, as a run."""
         run = max(self.runs, default=-1) + 1
-        if normal_texts is not None:
-            normal_texts.select("ord", "text", "fours").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/texts/run={run}")
-        self.runs[run] = self._write(_entries(texts), run)
+        self.runs[run] = self._write(_entries(signed), run)
+        self.stores.append(store)
         self._save()
         return self
 
@@ -355,18 +362,15 @@ class Forest:
         return self.spark.table(self.name).filter(F.col("run").isin(list(self.runs) or [-1]))
 
     def texts(self) -> DataFrame:
-        """(ord, text, fours) of the accepted texts."""
+        """(ord, text, fours) of the texts of all deliveries."""
         kept = "ord bigint, text string, fours array<bigint>"
-        return self.spark.read.schema(kept).option("recursiveFileLookup", "true").parquet(f"{self.path}/texts") if self.runs else self.spark.createDataFrame([], kept)
+        return self.spark.read.schema(kept).parquet(*[f"{self.path}/texts/{n}" for n in self.stores]) if self.stores else self.spark.createDataFrame([], kept)
 
     def wide_ranges(self, depth: int) -> DataFrame | None:
-        """Ranges of more than ``WIDE`` texts in a run, with their first text; None if there are none."""
-        if depth != depth_for():
-            return _wide(self.entries(), depth)
-        paths = [f"{self.path}/wide/run={r}" for r, n in self.runs.items() if n > WIDE]
-        if not paths:
+        """Ranges that hold many texts, with an early one; None if there are none."""
+        if depth != depth_for() or not self.runs:
             return None
-        wide = self.spark.read.schema("route bigint, low bigint, size bigint, leader bigint").parquet(*paths)
+        wide = self.spark.read.schema("route bigint, low bigint, size bigint, leader bigint").parquet(*[f"{self.path}/wide/run={r}" for r in self.runs])
         return None if wide.isEmpty() else wide.groupBy("route", "low").agg(F.min("leader").alias("leader"))
 
     def merge(self) -> Forest:
@@ -425,21 +429,28 @@ def _possible(threshold: float, exact: bool) -> Column:
 
 
 def lookups(entries: DataFrame, depth: int) -> DataFrame:
-    """(route, low, high, ord, n, sketch): the label range that each entry looks for."""
-    low = _low(F.col("label"), depth)
-    return entries.select("route", low.alias("low"), low.bitwiseOR(F.lit((1 << 8 * (LABEL - depth)) - 1)).alias("high"), "ord", "n", "sketch")
+    """(route, low, ord, n, sketch): where the label range begins that each entry looks for."""
+    return entries.select("route", _low(F.col("label"), depth).alias("low"), "ord", "n", "sketch")
 
 
-def candidates(asked: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, exact: bool = False, before: DataFrame | None = None) -> DataFrame:
+def candidates(asked: DataFrame, entries: DataFrame, depth: int, threshold: float = THRESHOLD, exact: bool = False, before: DataFrame | None = None) -> DataFrame:
     """(dup, kept): look-ups and the earlier entries within their ranges, each pair once; with ``before`` (ord, best) only entries below best."""
-    a = asked if before is None else asked.join(before.hint("broadcast") if before.count() <= BROADCAST_IDS else before, "ord", "left")
-    a, b = a.alias("a"), entries.alias("b")
-    inside = (F.col("a.route") == F.col("b.route")) & F.col("b.label").between(F.col("a.low"), F.col("a.high")) & (F.col("b.ord") < F.col("a.ord"))
+    a = (asked if before is None else asked.join(before, "ord", "left")).alias("a")
+    b = entries.alias("b")
+    width = (1 << 8 * (LABEL - depth)) - 1
+    inside = (F.col("a.route") == F.col("b.route")) & F.col("b.label").between(F.col("a.low"), F.col("a.low") + width) & (F.col("b.ord") < F.col("a.ord"))
     if before is not None:
         inside = inside & (F.col("a.best").isNull() | (F.col("b.ord") < F.col("a.best")))
     return b.join(a.hint("shuffle_hash"), inside & _possible(threshold, exact)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
 
 
+def meetings(asked: DataFrame, among: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """(dup, kept): look-ups of one delivery with the same range, each pair once, ``kept`` the earlier."""
+    a, b = asked.alias("a"), among.alias("b")
+    same = (F.col("a.route") == F.col("b.route")) & (F.col("a.low") == F.col("b.low")) & (F.col("b.ord") < F.col("a.ord"))
+    return a.join(b, same & _possible(threshold, exact)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
+
+
 def alike(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame) -> DataFrame:
     """The pairs of which at least ``AGREE`` min-hash functions agree, by four bits each (ord, fours)."""
     a = dup_texts.select(F.col("ord").alias("dup"), F.col("fours").alias("a"))
@@ -533,7 +544,7 @@ def _against_history(forest: Forest, entries: DataFrame, n: int, signed: DataFra
         first = asked.join(wide, ["route", "low"]).select(F.col("ord").alias("dup"), F.col("leader").alias("kept")).distinct()
         found = step(verified(step(first), signed, forest.texts(), threshold))
         best = step(found.groupBy(F.col("dup").alias("ord")).agg(F.min("kept").alias("best")))
-    met = candidates(asked, old, threshold, exact, best)
+    met = candidates(asked, old, depth, threshold, exact, best)
     pairs = step(met if exact else alike(met, signed, forest.texts()))
     found = verified(pairs, signed, forest.texts(), threshold)
     if best is not None:
@@ -543,19 +554,19 @@ def _against_history(forest: Forest, entries: DataFrame, n: int, signed: DataFra
 
 def _among_themselves(entries: DataFrame, signed: DataFrame, depth: int, threshold: float, exact: bool, step: _Steps) -> DataFrame:
     """(dup, kept) of the delivery's texts that repeat each other, none of which repeats the history."""
-    live, gone = lookups(entries, depth).withColumn("label", F.col("low")), None
+    # Most ranges hold one text of a delivery: only the others are looked at further.
+    ranges = step(_ranges(entries, depth).filter(F.col("size") > 1))
+    live = step(lookups(entries, depth).join(ranges.select("route", "low"), ["route", "low"], "left_semi"))
+    whole, gone = live, None
 
     def checked(asked: DataFrame, among: DataFrame) -> DataFrame:
-        met = candidates(asked, among, threshold, exact)
+        met = meetings(asked, among, threshold, exact)
         return verified(step(met if exact else alike(met, signed, signed)), signed, signed, threshold)
 
-    while True:
-        wide = _wide(live, depth)
-        if wide.isEmpty():
-            break
-        live, wide = step(live), step(wide)
+    wide = ranges.filter(F.col("size") > WIDE)
+    while not wide.isEmpty():
         # Texts that are first in all their wide ranges are leaders of this round: what they may repeat lies in narrow ranges.
-        in_wide = step(live.join(wide.select("route", "low", "leader"), ["route", "low"]).select("route", "low", "ord", "n", "sketch", "leader"))
+        in_wide = step(live.join(wide.select("route", "low", "leader"), ["route", "low"]).select("ord", "leader"))
         lead = in_wide.groupBy("ord").agg(F.every(F.col("ord") == F.col("leader")).alias("leads")).filter("leads").select("ord")
         not_sure = checked(live.join(lead, "ord", "left_semi"), live).select(F.col("dup").alias("ord")).distinct()
         sure = step(lead.join(not_sure, "ord", "left_anti"))
@@ -566,15 +577,14 @@ def _among_themselves(entries: DataFrame, signed: DataFrame, depth: int, thresho
             break
         gone = repeat if gone is None else gone.union(repeat)
         live = step(live.join(repeat, "ord", "left_anti"))
-    edges = step(checked(live, live))
-    rejected = resolve(edges, step)
+        wide = step(live.groupBy("route", "low").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("leader")).filter(F.col("size") > WIDE))
+    rejected = resolve(step(checked(live, live)), step)
     if gone is None:
         return rejected
     rejected = step(rejected)
     # Of the texts that left their ranges: the first accepted one that each of them repeats.
     accepted = live.join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti")
-    asked = lookups(entries, depth).join(gone.distinct(), "ord", "left_semi")
-    found = checked(asked, accepted)
+    found = checked(whole.join(gone.distinct(), "ord", "left_semi"), accepted)
     return rejected.unionByName(found.groupBy("dup").agg(F.min("kept").alias("kept")))
 
 
@@ -587,32 +597,36 @@ def admit(
     read.  With ``commit`` the accepted texts are added to the forest as a run.
     """
     spark, depth, step = forest.spark, depth_for(recall, threshold), _Steps(forest.spark)
-    signed = step(sign(rows if is_new is None else rows.filter(is_new(F.col("ord"))), least))
-    texts = step(_distinct_texts(signed))
-    entries = _entries(texts)
-    by_history = _against_history(forest, entries, texts.count(), signed, depth, threshold, exact, step)
-    known = by_history.select(F.col("dup").alias("ord"))
-    among = _among_themselves(entries.join(known, "ord", "left_anti"), signed, depth, threshold, exact, step)
-    rejected = step(by_history.unionByName(among))
-    release(spark)
+    store, signed = _signed(forest, rows if is_new is None else rows.filter(is_new(F.col("ord"))), least)
+    copies = step(copies_of(signed))
+    texts = signed.join(copies, "ord", "left_anti")
+    by_history = _against_history(forest, _entries(texts), signed.count(), signed, depth, threshold, exact, step)
+    fresh = texts.join(by_history.select(F.col("dup").alias("ord")), "ord", "left_anti")
+    rejected = step(by_history.unionByName(_among_themselves(_entries(fresh), signed, depth, threshold, exact, step)))
     # Copies get their text's result; of an accepted text every later copy repeats the first.
-    fate = texts.select("space", "h1", "h2", F.col("ord").alias("first")).join(rejected.select(F.col("dup").alias("first"), "kept"), "first", "left")
-    own = signed.select("ord", "h1", "h2", space_of(F.col("ord")).alias("space"))
-    out = own.join(fate, ["space", "h1", "h2"]).filter(F.col("kept").isNotNull() | (F.col("ord") > F.col("first")))
-    result = stored(out.select(F.col("ord").alias("dup"), F.coalesce("kept", "first").alias("kept")), "p2")
+    fate = copies.join(rejected.select(F.col("dup").alias("first"), "kept"), "first", "left")
+    result = stored(rejected.unionByName(fate.select(F.col("ord").alias("dup"), F.coalesce("kept", "first").alias("kept"))), "rejected")
     if commit:
-        accepted = texts.join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti")
-        forest.append(accepted, signed.join(accepted.select("ord"), "ord", "left_semi"))
+        forest.append(texts.join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti"), store)
+    else:
+        drop_path(spark, f"{forest.path}/texts/{store}")
     step.drop()
+    release(spark)
     return result
 
 
+def _signed(forest: Forest, rows: DataFrame, least: int) -> tuple[int, DataFrame]:
+    """Sign a delivery into a new store of the forest."""
+    store, path = forest.new_store()
+    sign(rows, least).write.option("compression", "zstd").parquet(path)
+    return store, forest.spark.read.schema(_SIGNED).parquet(path)
+
+
 def build(spark: SparkSession, rows: DataFrame, least: int = LEAST, buckets: int | None = None, path: str | None = None) -> Forest:
     """Forest of an accepted history (ord, post, text)."""
     forest, step = Forest.create(spark, buckets, path), _Steps(spark)
-    signed = step(sign(rows, least))
-    texts = step(_distinct_texts(signed))
-    forest.append(texts, signed.join(texts.select("ord"), "ord", "left_semi"))
+    store, signed = _signed(forest, rows, least)
+    forest.append(signed.join(step(copies_of(signed)), "ord", "left_anti"), store)
     step.drop()
     release(spark)
     return forest
