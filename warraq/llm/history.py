@@ -18,9 +18,8 @@ label can't reach is an error.  The history's entries aren't moved: look-ups
 are sent to its buckets, and those of a small delivery read only the buckets
 they fall in.  Pairs whose set sizes exclude the threshold are left out, and
 those whose signatures exclude it for all but about two pairs in a million at
-the threshold (``SKETCH_BITS``, ``AGREE``; ``exact`` verifies them too).  Every
-other pair is verified by its texts' exact similarity; the raw history is
-never read.
+the threshold (``AGREE``, ``BOTH``; ``exact`` verifies them too).  Every other
+pair is verified by its texts' exact similarity; the raw history is never read.
 
 What is decided (arrival order is ``ord``): rows of the history are accepted;
 a new row is rejected if it repeats a row accepted before it, and ``kept`` is
@@ -63,10 +62,11 @@ SHINGLE = 4
 THRESHOLD = 0.8
 RECALL = 0.995
 LEAST = 60
-#: Sketch bits that may differ: of 64, at the threshold 6.4 do on average and more than 20 for one pair in 1.8 million.
-SKETCH_BITS = 20
 #: Functions that must agree: of 80, at the threshold 64 do on average and fewer than 46 for one pair in 800,000.
 AGREE = 46
+#: Least shingles of a long text, of which the ``BOTTOM`` smallest hashes are kept too: for two long texts, the functions that
+#: agree and the smallest hashes of both that either has are 144 trials; at the threshold 115 hit, fewer than 91 for one pair in a million.
+LONG, BOTTOM, BOTH = 256, 64, 91
 #: Texts of a range that are paired out; wider ranges are thinned by their first texts before.
 WIDE = 64
 #: Wide ranges of the history are found by one text in so many: this only decides which ranges are thinned.
@@ -85,7 +85,7 @@ RUNS, TIER = 3, 1.5
 _WS = re.compile(r"\s+")
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 31, size=(2, FUNCTIONS), dtype=np.uint32)
 _MUL, _XOR = _ODD[0] * np.uint32(2) + np.uint32(1), _ODD[1]
-_ENTRY = "route bigint, label bigint, ord bigint, n int, sketch bigint"
+_ENTRY = "route bigint, label bigint, ord bigint, n int"
 
 
 def reached(depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
@@ -134,7 +134,7 @@ def hashed(text: str) -> np.ndarray:
 
 
 def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingles, labels [texts, TREES], sketches, four bits of every function [texts, 5]) of texts of at least a shingle."""
+    """(distinct shingles, labels [texts, TREES], four bits of every function [texts, 5], smallest hashes [long texts, BOTTOM]) of texts of at least a shingle."""
     lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     ends = np.cumsum(lens)
@@ -168,17 +168,16 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     for t in range(TREES):
         for j in range(LABEL):
             labels[:, t] = (labels[:, t] << 8) | byte[(t * STEP + j) % FUNCTIONS]
-    sketch = np.zeros(len(texts), dtype=np.uint64)
-    for k in range(64):
-        sketch |= ((mixed[k] >> np.uint32(9)) & np.uint32(1)).astype(np.uint64) << np.uint64(k)
     fours = (mixed >> np.uint32(20) & np.uint32(15)).astype(np.uint64)
     packed = np.zeros((len(texts), FUNCTIONS // 16), dtype=np.uint64)
     for k, four in enumerate(fours):
         packed[:, k // 16] |= four << np.uint64(4 * (k % 16))
-    return sizes, labels, sketch.view(np.int64), packed.view(np.int64)
+    # Sorted as they are, a text's smallest hashes come first.
+    bottom = key[starts[sizes >= LONG][:, None] + np.arange(BOTTOM)] & np.uint64((1 << 40) - 1)
+    return sizes, labels, packed.view(np.int64), (bottom >> np.uint64(9)).astype(np.int32)
 
 
-_SIGNED = "ord bigint, h1 bigint, h2 bigint, n int, labels array<bigint>, sketch bigint, fours array<bigint>, text string"
+_SIGNED = "ord bigint, h1 bigint, h2 bigint, n int, labels array<bigint>, fours array<bigint>, bottom array<int>, text string"
 
 
 def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
@@ -197,7 +196,7 @@ def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
                     size += len(texts[has[at]])
                     at += 1
                 own = [texts[k] for k in part]
-                n, labels, sketch, fours = signatures(own)
+                n, labels, fours, bottom = signatures(own)
                 raw = [t.encode("utf-8", "surrogatepass") for t in own]
                 digest = np.array([divmod(xxhash.xxh3_128_intdigest(t), 1 << 64) for t in raw], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -207,11 +206,11 @@ def sign(rows: DataFrame, least: int = LEAST) -> DataFrame:
                         pa.array(np.ascontiguousarray(digest[:, 1])),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, labels.size + 1, TREES, dtype=np.int32)), pa.array(labels.ravel())),
-                        pa.array(sketch),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, fours.size + 1, fours.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(fours).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n >= LONG, BOTTOM, 0)))).astype(np.int32)), pa.array(bottom.ravel())),
                         pa.array(own, pa.string()),
                     ],
-                    names=["ord", "h1", "h2", "n", "labels", "sketch", "fours", "text"],
+                    names=["ord", "h1", "h2", "n", "labels", "fours", "bottom", "text"],
                 )
 
     return spread(rows.select("ord", "post", "text").filter("ord is not null and text is not null")).mapInArrow(run, _SIGNED)
@@ -251,10 +250,10 @@ def copies_of(signed: DataFrame) -> DataFrame:
 
 
 def _entries(texts: DataFrame) -> DataFrame:
-    """Forest entries (route, label, ord, n, sketch) of distinct texts; the route is name space, tree and head of the label."""
-    e = texts.select("ord", "n", "sketch", space_of(F.col("ord")).alias("space"), F.posexplode("labels").alias("tree", "label"))
+    """Forest entries (route, label, ord, n) of distinct texts; the route is name space, tree and head of the label."""
+    e = texts.select("ord", "n", space_of(F.col("ord")).alias("space"), F.posexplode("labels").alias("tree", "label"))
     tree = (F.col("space") * TREES + F.col("tree")).cast("bigint")
-    return e.select(F.shiftleft(tree, 8 * HEAD).bitwiseOR(F.shiftrightunsigned("label", 8 * (LABEL - HEAD))).alias("route"), "label", "ord", "n", "sketch")
+    return e.select(F.shiftleft(tree, 8 * HEAD).bitwiseOR(F.shiftrightunsigned("label", 8 * (LABEL - HEAD))).alias("route"), "label", "ord", "n")
 
 
 def _low(label: Column, depth: int) -> Column:
@@ -331,8 +330,8 @@ class Forest:
 
     def _write(self, entries: DataFrame, run: int) -> int:
         """Write a run, one sorted file a bucket; the number of its entries."""
-        by_bucket = entries.select("route", "label", "ord", "n", "sketch", F.lit(run).alias("run")).repartition(self.buckets, "route")
-        by_bucket.write.format("parquet").mode("append").partitionBy("run").bucketBy(self.buckets, "route").sortBy("route", "label").option("path", f"{self.path}/entries").saveAsTable(self.name)
+        by_bucket = entries.select("route", "label", "ord", "n").repartition(self.buckets, "route").withColumn("run", F.lit(run))
+        by_bucket.write.format("parquet").mode("append").partitionBy("run").bucketBy(self.buckets, "route").sortBy("route", "label").option("path", f"{self.path}/entries").option("compression", "zstd").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
         own = self.spark.table(self.name).filter(F.col("run") == run)
         # Bucketed by route, the ranges are counted where they lie.
@@ -362,8 +361,8 @@ class Forest:
         return self.spark.table(self.name).filter(F.col("run").isin(list(self.runs) or [-1]))
 
     def texts(self) -> DataFrame:
-        """(ord, text, fours) of the texts of all deliveries."""
-        kept = "ord bigint, text string, fours array<bigint>"
+        """(ord, text, fours, bottom) of the texts of all deliveries."""
+        kept = "ord bigint, text string, fours array<bigint>, bottom array<int>"
         return self.spark.read.schema(kept).parquet(*[f"{self.path}/texts/{n}" for n in self.stores]) if self.stores else self.spark.createDataFrame([], kept)
 
     def wide_ranges(self, depth: int) -> DataFrame | None:
@@ -422,18 +421,17 @@ class _Steps:
         drop_path(self.spark, self.base)
 
 
-def _possible(threshold: float, exact: bool) -> Column:
-    """Whether a pair (a, b) may reach the threshold, by set sizes and sketches."""
-    sizes = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n")
-    return sizes if exact else sizes & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= SKETCH_BITS)
+def _sizes(threshold: float) -> Column:
+    """Whether the set sizes of a pair (a, b) allow the threshold."""
+    return F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n")
 
 
 def lookups(entries: DataFrame, depth: int) -> DataFrame:
-    """(route, low, ord, n, sketch): where the label range begins that each entry looks for."""
-    return entries.select("route", _low(F.col("label"), depth).alias("low"), "ord", "n", "sketch")
+    """(route, low, ord, n): where the label range begins that each entry looks for."""
+    return entries.select("route", _low(F.col("label"), depth).alias("low"), "ord", "n")
 
 
-def candidates(asked: DataFrame, entries: DataFrame, depth: int, threshold: float = THRESHOLD, exact: bool = False, before: DataFrame | None = None) -> DataFrame:
+def candidates(asked: DataFrame, entries: DataFrame, depth: int, threshold: float = THRESHOLD, before: DataFrame | None = None) -> DataFrame:
     """(dup, kept): look-ups and the earlier entries within their ranges, each pair once; with ``before`` (ord, best) only entries below best."""
     a = (asked if before is None else asked.join(before, "ord", "left")).alias("a")
     b = entries.alias("b")
@@ -441,26 +439,39 @@ def candidates(asked: DataFrame, entries: DataFrame, depth: int, threshold: floa
     inside = (F.col("a.route") == F.col("b.route")) & F.col("b.label").between(F.col("a.low"), F.col("a.low") + width) & (F.col("b.ord") < F.col("a.ord"))
     if before is not None:
         inside = inside & (F.col("a.best").isNull() | (F.col("b.ord") < F.col("a.best")))
-    return b.join(a.hint("shuffle_hash"), inside & _possible(threshold, exact)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
+    return b.join(a.hint("shuffle_hash"), inside & _sizes(threshold)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
 
 
-def meetings(asked: DataFrame, among: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+def meetings(asked: DataFrame, among: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(dup, kept): look-ups of one delivery with the same range, each pair once, ``kept`` the earlier."""
     a, b = asked.alias("a"), among.alias("b")
     same = (F.col("a.route") == F.col("b.route")) & (F.col("a.low") == F.col("b.low")) & (F.col("b.ord") < F.col("a.ord"))
-    return a.join(b, same & _possible(threshold, exact)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
+    return a.join(b, same & _sizes(threshold)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_IDS else df
 
 
 def alike(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame) -> DataFrame:
-    """The pairs of which at least ``AGREE`` min-hash functions agree, by four bits each (ord, fours)."""
-    a = dup_texts.select(F.col("ord").alias("dup"), F.col("fours").alias("a"))
-    b = kept_texts.select(F.col("ord").alias("kept"), F.col("fours").alias("b"))
+    """The stored pairs whose signatures (ord, fours, bottom) allow the threshold: at least ``AGREE`` min-hash functions agree,
+    by four bits each, and of two long texts at least ``BOTH`` functions and smallest hashes."""
+    n = pairs.count()
+    if not n:
+        return pairs
     differ = F.lit(0)
     for k in range(FUNCTIONS // 16):
         x = F.element_at("a", k + 1).bitwiseXOR(F.element_at("b", k + 1))
         any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
         differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-    return pairs.join(a, "dup").join(b, "kept").filter(differ <= FUNCTIONS - AGREE).select("dup", "kept")
+    common = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("c", "d")), 1, BOTTOM), F.array_intersect("c", "d")))
+    long = (F.size("c") > 0) & (F.size("d") > 0)
+    # A pair's second signature is compared only if its first allows it.
+    allowed = F.when(differ > FUNCTIONS - AGREE, False).when(long, FUNCTIONS - differ + common >= BOTH).otherwise(True)
+    b = kept_texts.select(F.col("ord").alias("kept"), F.col("fours").alias("b"), F.col("bottom").alias("d"))
+    ids = pairs.select(F.col("dup").alias("ord")).distinct()
+    a = dup_texts.join(_small(ids, n), "ord", "left_semi").select(F.col("ord").alias("dup"), F.col("fours").alias("a"), F.col("bottom").alias("c"))
+    return b.join(_small(pairs, n), "kept").join(a, "dup").filter(allowed).select("dup", "kept")
 
 
 def verified(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -469,10 +480,9 @@ def verified(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame, thre
     if not n:
         return pairs
 
-    small = n <= BROADCAST_IDS
     ids = pairs.select(F.col("dup").alias("ord")).distinct()
-    own = dup_texts.select("ord", "text").join(F.broadcast(ids) if small else ids, "ord", "left_semi").select(F.col("ord").alias("dup"), F.col("text").alias("a"))
-    both = kept_texts.select(F.col("ord").alias("kept"), F.col("text").alias("b")).join(F.broadcast(pairs) if small else pairs, "kept").join(own, "dup")
+    own = dup_texts.select("ord", "text").join(_small(ids, n), "ord", "left_semi").select(F.col("ord").alias("dup"), F.col("text").alias("a"))
+    both = kept_texts.select(F.col("ord").alias("kept"), F.col("text").alias("b")).join(_small(pairs, n), "kept").join(own, "dup")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -544,8 +554,9 @@ def _against_history(forest: Forest, entries: DataFrame, n: int, signed: DataFra
         first = asked.join(wide, ["route", "low"]).select(F.col("ord").alias("dup"), F.col("leader").alias("kept")).distinct()
         found = step(verified(step(first), signed, forest.texts(), threshold))
         best = step(found.groupBy(F.col("dup").alias("ord")).agg(F.min("kept").alias("best")))
-    met = candidates(asked, old, depth, threshold, exact, best)
-    pairs = step(met if exact else alike(met, signed, forest.texts()))
+    met = candidates(asked, old, depth, threshold, best)
+    pairs = step(met)
+    pairs = pairs if exact else step(alike(pairs, signed, forest.texts()))
     found = verified(pairs, signed, forest.texts(), threshold)
     if best is not None:
         found = found.unionByName(best.select(F.col("ord").alias("dup"), F.col("best").alias("kept")))
@@ -560,8 +571,8 @@ def _among_themselves(entries: DataFrame, signed: DataFrame, depth: int, thresho
     whole, gone = live, None
 
     def checked(asked: DataFrame, among: DataFrame) -> DataFrame:
-        met = meetings(asked, among, threshold, exact)
-        return verified(step(met if exact else alike(met, signed, signed)), signed, signed, threshold)
+        met = step(meetings(asked, among, threshold))
+        return verified(met if exact else step(alike(met, signed, signed)), signed, signed, threshold)
 
     wide = ranges.filter(F.col("size") > WIDE)
     while not wide.isEmpty():
@@ -601,6 +612,7 @@ def admit(
     copies = step(copies_of(signed))
     texts = signed.join(copies, "ord", "left_anti")
     by_history = _against_history(forest, _entries(texts), signed.count(), signed, depth, threshold, exact, step)
+    release(spark)
     fresh = texts.join(by_history.select(F.col("dup").alias("ord")), "ord", "left_anti")
     rejected = step(by_history.unionByName(_among_themselves(_entries(fresh), signed, depth, threshold, exact, step)))
     # Copies get their text's result; of an accepted text every later copy repeats the first.
