@@ -242,11 +242,12 @@ def space_of(order: Column) -> Column:
     return F.shiftright(order, 56).cast("int")
 
 
-def copies_of(signed: DataFrame) -> DataFrame:
+def copies_of(signed: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(ord, first): the rows whose text occurs before in the same name space, with the first such row."""
     own = signed.select("ord", "h1", "h2", space_of(F.col("ord")).alias("space"))
     first = own.groupBy("space", "h1", "h2").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
-    return own.join(first, ["space", "h1", "h2"]).filter(F.col("ord") > F.col("first")).select("ord", "first")
+    first = step(first)
+    return own.join(_small(first, first.count()), ["space", "h1", "h2"]).filter(F.col("ord") > F.col("first")).select("ord", "first")
 
 
 def _entries(texts: DataFrame) -> DataFrame:
@@ -262,9 +263,13 @@ def _low(label: Column, depth: int) -> Column:
     return F.shiftleft(F.shiftrightunsigned(label, rest), rest)
 
 
-def _ranges(entries: DataFrame, depth: int) -> DataFrame:
-    """(route, low, size, leader) of the ranges that hold entries."""
-    return entries.groupBy("route", _low(F.col("label"), depth).alias("low")).agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("leader"))
+def _ranges(asked: DataFrame) -> DataFrame:
+    """(route, low, size, leader) of the ranges that look-ups fall in."""
+    return asked.groupBy("route", "low").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("leader"))
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_IDS else df
 
 
 # --- the persisted forest -----------------------------------------------------
@@ -284,6 +289,7 @@ class Forest:
     buckets: int
     runs: dict[int, int] = field(default_factory=dict)
     stores: list[int] = field(default_factory=list)
+    gone: list[int] = field(default_factory=list)
     version: int = 0
 
     @classmethod
@@ -304,7 +310,7 @@ class Forest:
         kept = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest-{versions[-1]}.json").collect()))
         if (kept["trees"], kept["step"], kept["label"], kept["head"], kept["shingle"]) != (TREES, STEP, LABEL, HEAD, SHINGLE):
             raise ValueError("the forest was made with other constants")
-        f = cls(spark, path, kept["buckets"], {int(k): v for k, v in kept["runs"].items()}, kept["stores"], versions[-1])
+        f = cls(spark, path, kept["buckets"], {int(k): v for k, v in kept["runs"].items()}, kept["stores"], kept["gone"], versions[-1])
         f._define()
         return f
 
@@ -320,7 +326,7 @@ class Forest:
     def _save(self) -> None:
         """A new version of the manifest: what it doesn't name is not part of the forest."""
         self.version += 1
-        kept = {"trees": TREES, "step": STEP, "label": LABEL, "head": HEAD, "shingle": SHINGLE, "buckets": self.buckets, "runs": self.runs, "stores": self.stores}
+        kept = {"trees": TREES, "step": STEP, "label": LABEL, "head": HEAD, "shingle": SHINGLE, "buckets": self.buckets, "runs": self.runs, "stores": self.stores, "gone": self.gone}
         fs, target = _fs(self.spark, f"{self.path}/manifest-{self.version}.json")
         draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.draft-{uuid.uuid4().hex}")
         out = fs.create(draft)
@@ -335,7 +341,7 @@ class Forest:
         self.spark.catalog.refreshTable(self.name)
         own = self.spark.table(self.name).filter(F.col("run") == run)
         # Bucketed by route, the ranges are counted where they lie.
-        wide = _ranges(own.filter(F.pmod(F.xxhash64("ord"), F.lit(PROBE)) == 0), depth_for()).filter(F.col("size") > WIDE // PROBE)
+        wide = _ranges(lookups(own.filter(F.pmod(F.xxhash64("ord"), F.lit(PROBE)) == 0), depth_for())).filter(F.col("size") > WIDE // PROBE)
         wide.write.mode("overwrite").parquet(f"{self.path}/wide/run={run}")
         return own.count()
 
@@ -346,16 +352,28 @@ class Forest:
         drop_path(self.spark, path)
         return n, path
 
-    def append(self, signed: DataFrame, store: int) -> Forest:
-        """Add distinct signed texts, of which the store holds all, as a run."""
-        run = max(self.runs, default=-1) + 1
-        self.runs[run] = self._write(_entries(signed), run)
+    def pending(self, entries: DataFrame) -> tuple[int, int]:
+        """Write a delivery's entries as a run that isn't live yet; its number and size."""
+        run = max([-1, *self.runs, *self.gone]) + 1
+        drop_path(self.spark, f"{self.path}/entries/run={run}")
+        return run, self._write(entries, run)
+
+    def commit(self, run: int, n: int, store: int, rejected: DataFrame | None = None) -> Forest:
+        """Make a pending run live, but for its rejected texts (ord); these leave the entries at the next merge."""
+        if rejected is not None:
+            rejected.select("ord").write.mode("overwrite").parquet(f"{self.path}/gone/{run}")
+            self.gone.append(run)
+        self.runs[run] = n
         self.stores.append(store)
         self._save()
         return self
 
+    def rejected(self) -> DataFrame | None:
+        """(ord) of the texts of live runs that aren't accepted."""
+        return self.spark.read.schema("ord bigint").parquet(*[f"{self.path}/gone/{r}" for r in self.gone]) if self.gone else None
+
     def entries(self) -> DataFrame:
-        """Entries of all live runs."""
+        """Entries of all live runs, those of rejected texts among them."""
         if not self.runs:
             return self.spark.createDataFrame([], _ENTRY + ", run int")
         return self.spark.table(self.name).filter(F.col("run").isin(list(self.runs) or [-1]))
@@ -382,10 +400,15 @@ class Forest:
             total += n
         if len(small) < 2:
             return self
-        new = max(self.runs) + 1
-        n = self._write(self.spark.table(self.name).filter(F.col("run").isin(small)), new)
+        new = max([*self.runs, *self.gone]) + 1
+        own, left = self.spark.table(self.name).filter(F.col("run").isin(small)), self.rejected()
+        n = self._write(own if left is None else own.join(_small(left, left.count()), "ord", "left_anti"), new)
+        done = [r for r in self.gone if r in small]
         self.runs = {r: k for r, k in self.runs.items() if r not in small} | {new: n}
+        self.gone = [r for r in self.gone if r not in small]
         self._save()
+        for r in done:
+            drop_path(self.spark, f"{self.path}/gone/{r}")
         for r in small:
             drop_path(self.spark, f"{self.path}/entries/run={r}")
             drop_path(self.spark, f"{self.path}/wide/run={r}")
@@ -449,29 +472,29 @@ def meetings(asked: DataFrame, among: DataFrame, threshold: float = THRESHOLD) -
     return a.join(b, same & _sizes(threshold)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_IDS else df
-
-
-def alike(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame, step: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The stored pairs whose signatures (ord, fours, bottom) allow the threshold: at least ``AGREE`` min-hash functions agree,
     by four bits each, and of two long texts at least ``BOTH`` functions and smallest hashes."""
+
+    def with_own(pairs: DataFrame, n: int, name: str) -> DataFrame:
+        ids = pairs.select(F.col("dup").alias("ord")).distinct()
+        a = dup_texts.select("ord", name).join(_small(ids, n), "ord", "left_semi").select(F.col("ord").alias("dup"), F.col(name).alias("a"))
+        b = kept_texts.select(F.col("ord").alias("kept"), F.col(name).alias("b"))
+        return b.join(_small(pairs, n), "kept").join(a, "dup")
+
     n = pairs.count()
     if not n:
         return pairs
-    differ = F.lit(0)
+    agree = F.lit(FUNCTIONS)
     for k in range(FUNCTIONS // 16):
         x = F.element_at("a", k + 1).bitwiseXOR(F.element_at("b", k + 1))
         any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-    common = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("c", "d")), 1, BOTTOM), F.array_intersect("c", "d")))
-    long = (F.size("c") > 0) & (F.size("d") > 0)
-    # A pair's second signature is compared only if its first allows it.
-    allowed = F.when(differ > FUNCTIONS - AGREE, False).when(long, FUNCTIONS - differ + common >= BOTH).otherwise(True)
-    b = kept_texts.select(F.col("ord").alias("kept"), F.col("fours").alias("b"), F.col("bottom").alias("d"))
-    ids = pairs.select(F.col("dup").alias("ord")).distinct()
-    a = dup_texts.join(_small(ids, n), "ord", "left_semi").select(F.col("ord").alias("dup"), F.col("fours").alias("a"), F.col("bottom").alias("c"))
-    return b.join(_small(pairs, n), "kept").join(a, "dup").filter(allowed).select("dup", "kept")
+        agree = agree - F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    # The smallest hashes are longer; they are sent for the pairs that are left only.
+    first = step(with_own(pairs, n, "fours").select("dup", "kept", agree.alias("agree")).filter(F.col("agree") >= AGREE))
+    common = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("a", "b")), 1, BOTTOM), F.array_intersect("a", "b")))
+    long = (F.size("a") > 0) & (F.size("b") > 0)
+    return with_own(first, first.count(), "bottom").filter(F.when(long, F.col("agree") + common >= BOTH).otherwise(True)).select("dup", "kept")
 
 
 def verified(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -543,36 +566,42 @@ def resolve(edges: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFra
     return edges.join(sure.select(F.col("node").alias("kept")), "kept", "left_semi").groupBy("dup").agg(F.min("kept").alias("kept"))
 
 
-def _against_history(forest: Forest, entries: DataFrame, n: int, signed: DataFrame, depth: int, threshold: float, exact: bool, step: _Steps) -> DataFrame:
+def _against_history(forest: Forest, asked: DataFrame, n: int, signed: DataFrame, depth: int, threshold: float, exact: bool, step: _Steps) -> DataFrame:
     """(dup, kept) of the delivery's texts that repeat the history, with the first text they repeat."""
-    asked, old = lookups(entries, depth), forest.entries()
+    old, left = forest.entries(), forest.rejected()
+
+    def accepted(pairs: DataFrame) -> DataFrame:
+        return pairs if left is None else pairs.join(left.select(F.col("ord").alias("kept")), "kept", "left_anti").select("dup", "kept")
+
     if n * TREES <= FEW:
         # Told as values, the routes let the scan choose its buckets and row groups.
         old = old.filter(F.col("route").isin([r[0] for r in asked.select("route").distinct().collect()]))
     wide, best = forest.wide_ranges(depth), None
     if wide is not None:
         first = asked.join(wide, ["route", "low"]).select(F.col("ord").alias("dup"), F.col("leader").alias("kept")).distinct()
-        found = step(verified(step(first), signed, forest.texts(), threshold))
+        found = step(verified(step(accepted(first)), signed, forest.texts(), threshold))
         best = step(found.groupBy(F.col("dup").alias("ord")).agg(F.min("kept").alias("best")))
-    met = candidates(asked, old, depth, threshold, best)
-    pairs = step(met)
-    pairs = pairs if exact else step(alike(pairs, signed, forest.texts()))
+    pairs = step(accepted(candidates(asked, old, depth, threshold, best)))
+    pairs = pairs if exact else step(alike(pairs, signed, forest.texts(), step))
     found = verified(pairs, signed, forest.texts(), threshold)
     if best is not None:
         found = found.unionByName(best.select(F.col("ord").alias("dup"), F.col("best").alias("kept")))
     return step(found.groupBy("dup").agg(F.min("kept").alias("kept")))
 
 
-def _among_themselves(entries: DataFrame, signed: DataFrame, depth: int, threshold: float, exact: bool, step: _Steps) -> DataFrame:
+def _among_themselves(asked: DataFrame, signed: DataFrame, depth: int, threshold: float, exact: bool, step: _Steps) -> DataFrame:
     """(dup, kept) of the delivery's texts that repeat each other, none of which repeats the history."""
     # Most ranges hold one text of a delivery: only the others are looked at further.
-    ranges = step(_ranges(entries, depth).filter(F.col("size") > 1))
-    live = step(lookups(entries, depth).join(ranges.select("route", "low"), ["route", "low"], "left_semi"))
+    # Both steps work where the run's buckets lie; equality of range is written as a condition within equal routes for that.
+    ranges = step(_ranges(asked).filter(F.col("size") > 1))
+    a, r = asked.alias("a"), ranges.select("route", "low").alias("r")
+    same = (F.col("a.route") == F.col("r.route")) & F.col("a.low").between(F.col("r.low"), F.col("r.low"))
+    live = step(a.join(r.hint("shuffle_hash"), same, "left_semi"))
     whole, gone = live, None
 
     def checked(asked: DataFrame, among: DataFrame) -> DataFrame:
         met = step(meetings(asked, among, threshold))
-        return verified(met if exact else step(alike(met, signed, signed)), signed, signed, threshold)
+        return verified(met if exact else step(alike(met, signed, signed, step)), signed, signed, threshold)
 
     wide = ranges.filter(F.col("size") > WIDE)
     while not wide.isEmpty():
@@ -588,7 +617,7 @@ def _among_themselves(entries: DataFrame, signed: DataFrame, depth: int, thresho
             break
         gone = repeat if gone is None else gone.union(repeat)
         live = step(live.join(repeat, "ord", "left_anti"))
-        wide = step(live.groupBy("route", "low").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("leader")).filter(F.col("size") > WIDE))
+        wide = step(_ranges(live).filter(F.col("size") > WIDE))
     rejected = resolve(step(checked(live, live)), step)
     if gone is None:
         return rejected
@@ -609,18 +638,21 @@ def admit(
     """
     spark, depth, step = forest.spark, depth_for(recall, threshold), _Steps(forest.spark)
     store, signed = _signed(forest, rows if is_new is None else rows.filter(is_new(F.col("ord"))), least)
-    copies = step(copies_of(signed))
-    texts = signed.join(copies, "ord", "left_anti")
-    by_history = _against_history(forest, _entries(texts), signed.count(), signed, depth, threshold, exact, step)
+    copies = step(copies_of(signed, step))
+    # Written first as a run that isn't live, the delivery's entries meet the history's and each other bucket by bucket.
+    run, n = forest.pending(_entries(signed.join(copies, "ord", "left_anti")))
+    asked = lookups(spark.table(forest.name).filter(F.col("run") == run), depth)
+    by_history = _against_history(forest, asked, n // TREES, signed, depth, threshold, exact, step)
     release(spark)
-    fresh = texts.join(by_history.select(F.col("dup").alias("ord")), "ord", "left_anti")
-    rejected = step(by_history.unionByName(_among_themselves(_entries(fresh), signed, depth, threshold, exact, step)))
+    fresh = asked.join(_small(by_history.select(F.col("dup").alias("ord")), by_history.count()), "ord", "left_anti")
+    rejected = step(by_history.unionByName(_among_themselves(fresh, signed, depth, threshold, exact, step)))
     # Copies get their text's result; of an accepted text every later copy repeats the first.
     fate = copies.join(rejected.select(F.col("dup").alias("first"), "kept"), "first", "left")
     result = stored(rejected.unionByName(fate.select(F.col("ord").alias("dup"), F.coalesce("kept", "first").alias("kept"))), "rejected")
     if commit:
-        forest.append(texts.join(rejected.select(F.col("dup").alias("ord")), "ord", "left_anti"), store)
+        forest.commit(run, n, store, rejected.select(F.col("dup").alias("ord")))
     else:
+        drop_path(spark, f"{forest.path}/entries/run={run}")
         drop_path(spark, f"{forest.path}/texts/{store}")
     step.drop()
     release(spark)
@@ -638,7 +670,8 @@ def build(spark: SparkSession, rows: DataFrame, least: int = LEAST, buckets: int
     """Forest of an accepted history (ord, post, text)."""
     forest, step = Forest.create(spark, buckets, path), _Steps(spark)
     store, signed = _signed(forest, rows, least)
-    forest.append(signed.join(step(copies_of(signed)), "ord", "left_anti"), store)
+    run, n = forest.pending(_entries(signed.join(step(copies_of(signed, step)), "ord", "left_anti")))
+    forest.commit(run, n, store)
     step.drop()
     release(spark)
     return forest
