@@ -80,7 +80,7 @@ MARGIN = 0.01
 #: Look-ups up to this many are told to the scan, so that it reads only their buckets.
 FEW = 2_000
 #: Live runs from which ``merge`` is worth while, and how much larger than the rest a run must be to be left alone by it.
-RUNS, TIER = 3, 1.5
+RUNS, TIER = 3, 1.2
 
 _WS = re.compile(r"\s+")
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 31, size=(2, FUNCTIONS), dtype=np.uint32)
