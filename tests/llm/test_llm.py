@@ -208,6 +208,29 @@ def test_validators():
     assert pii.dialable("+213 6 07 363 636") and not pii.dialable("90584509895")
 
 
+# Published test numbers; with one digit changed they are nothing.
+KEYED = ["4111 1111 1111 1111", "5500-0000-0000-0004", "340000000000009", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "DE89370400440532013000", "1 84 12 76 451 089 46"]
+
+
+@pytest.mark.parametrize("number", KEYED)
+def test_a_changed_digit_changes_the_decision(number, monkeypatch):
+    finder = pii.Finder(NAMES)
+    kinds = lambda t: {s.kind for s in finder.spans(t)}
+    assert kinds(f"voila {number} merci") == {"id_number"}
+    for k in [k for k, c in enumerate(number) if c.isdigit()][-3:]:
+        wrong = number[:k] + str((int(number[k]) + 1) % 10) + number[k + 1 :]
+        assert kinds(f"voila {wrong} merci") == set()
+    assert kinds(f"colis {number} prix") == set() or number[0].isalpha()
+    for name in ("luhn", "iban", "keyed"):
+        monkeypatch.setattr(pii, name, lambda _: False)
+    assert kinds(f"voila {number} merci") == set()
+
+
+@pytest.mark.parametrize("text", ["+33 6 12 34 56 78", "appelle 0044 20 7946 0958", "tel +1 (212) 555-0147", "+216 20 123 456"])
+def test_phones_abroad(text):
+    assert {s.kind for s in pii.Finder(NAMES).spans(text)} == {"phone"}
+
+
 # --- 3 and 7 ----------------------------------------------------------------
 
 

@@ -94,7 +94,7 @@ def fit(samples: list[tuple[str, str]]) -> dict[str, list[str]]:
 
 
 class _Grams(dict):
-    """Known n-grams of words as packed int16."""
+    """Known n-grams of words as packed int32."""
 
     def __init__(self, index: dict[str, int]) -> None:
         super().__init__()
@@ -104,7 +104,7 @@ class _Grams(dict):
         ids = [self.index[g] for g in word_grams(word[:64]) if g in self.index]
         for k in range(64, len(word), 64):
             ids += [self.index[g] for g in word_grams(word[k : k + 64]) if g in self.index]
-        packed = np.asarray(ids, dtype=np.int16).tobytes()
+        packed = np.asarray(ids, dtype=np.int32).tobytes()
         if len(self) >= _MEMO:
             self.clear()
         self[word] = packed
@@ -128,7 +128,7 @@ class Identifier:
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Known n-grams of words with their counts: (ids, counts)."""
-        ids = np.frombuffer(b"".join(map(self.grams.__getitem__, words)), dtype=np.int16)
+        ids = np.frombuffer(b"".join(map(self.grams.__getitem__, words)), dtype=np.int32)
         return np.unique(ids, return_counts=True)
 
     def of(self, ids: np.ndarray, n: np.ndarray) -> tuple[str | None, float]:

@@ -2,7 +2,10 @@
 
 Regular expressions propose spans; a span's score starts from its shape and is
 moved by validators (dialling plan, Luhn, mod-97) and by context words near
-it; spans of at least ``THRESHOLD`` stand.  Kinds: ``email`` (also written to
+it; spans of at least ``THRESHOLD`` stand.  A number that the text presents as
+an identity number stands with or without a key; card and bank account numbers
+and keyed national numbers that nothing presents stand by a right checksum and
+fall by a wrong one.  Kinds: ``email`` (also written to
 hide it), ``phone``, ``id_number``, ``address``, ``person_name``.
 
 Matching looks through diacritics, tatweel and invisible characters; spans and
@@ -64,6 +67,24 @@ def mod97(digits: str) -> bool:
     return int(digits) % 97 == 1 or (len(digits) > 2 and (97 - int(digits[:-2]) % 97) % 97 == int(digits[-2:]) % 97)
 
 
+def iban(number: str) -> bool:
+    """Bank account number: country, key and account, mod 97-10 over the account, country and key with letters as numbers."""
+    bare = re.sub(r"[^0-9A-Za-z]", "", number).upper()
+    if not re.fullmatch(r"[A-Z]{2}\d{2}[0-9A-Z]{11,30}", bare) or sum(map(str.isdigit, bare)) < 10:
+        return False
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def card(digits: str) -> bool:
+    """Payment card: 13 to 19 digits of a known leading range, Luhn."""
+    return 13 <= len(digits) <= 19 and digits[0] in "3456" and len(set(digits)) > 1 and luhn(digits)
+
+
+def keyed(digits: str) -> bool:
+    """National number of 15 digits whose last two are the key of the others (97 less the rest), of a plausible sex, month and place."""
+    return len(digits) == 15 and digits[0] in "1278" and 1 <= int(digits[3:5]) <= 12 and (97 - int(digits[:13]) % 97) == int(digits[13:])
+
+
 _PLAN = re.compile(r"(?:(?:\+|00)?213(?:0)?)?(?:[567]\d{8}|[234]\d{7})|0(?:[567]\d{8}|[234]\d{7})")
 
 
@@ -88,7 +109,11 @@ _MENTION = re.compile(r"\S\s@\S")
 _EMAIL_HINT = re.compile(rf"{_AT_SIGN}|\b{_AT_WORD}\b", re.I)
 
 _NUMBER = re.compile(r"(?<![\w+.,/-])(?:\(\s?\+?\s?\d{2,3}\s?\)|\+|[A-Z])?\s?\d(?:[ .\-\u00a0]?\d){7,23}(?![\d/]|[.,-]\d|[^\W\d])")
-_PHONE_WORDS = re.compile(r"(?:\bt[eé]l|phone|whats?app|\bnum|appele|joignable|call|3ayt|رقمي|هاتف|اتصل|واتساب|للحجز|نمر)", re.I)
+_IBAN = re.compile(r"(?<![\w/])[A-Za-z]{2}\d{2}(?:[ \u00a0-]?[0-9A-Za-z]{4}){2,7}(?:[ \u00a0-]?[0-9A-Za-z]{1,3})?(?![\w/])")
+# A number with a country code other than the national one: the code, then groups of digits.
+_ABROAD = re.compile(r"(?<![\w+.,/-])(?:\+|00)(?!\s?213)[1-9]\d{0,2}[ .\-\u00a0]?\(?\d(?:[ .\-()\u00a0]{0,2}\d){6,11}(?![\d/]|[.,-]\d|[^\W\d])")
+_MONEY_WORDS = re.compile(r"(?:\bcards?\b|\bvisa\b|master ?card|\bcb\b|carte (?:bancaire|bleue|de cr[eé]dit)|\biban\b|\brib\b|\bccp\b|compte|account|بطاقة|الحساب|حسابي)(?:(?!\d\d)[^\n]){0,24}$", re.I)
+_PHONE_WORDS = re.compile(r"(?:\bt[eé]l|phone|whats?app|\bnum|appell?e|joignable|call|3ayt|رقمي|هاتف|اتصل|واتساب|للحجز|نمر)", re.I)
 _OTHER_NUMBER = re.compile(r"(?:\bcolis|\br[ée]f|\bsuivi|tracking|command|order|\bprix|price|\bvues?\b|views|طلبية|الطرد|البلاغ|السعر|مشاهد)\W{0,3}(?:\w{1,4}\W{1,3})?$", re.I)
 _ID_WORDS = re.compile(
     r"(?:الرقم الوطني|رقم التعريف|الضمان الاجتماعي|جواز|رقم البطاقة|بطاقة التعريف|\bNIN\b|\bNSS\b|ta[3a]rif|\bs[eé]cu\b|s[eé]curit[eé] sociale|social security"
@@ -199,14 +224,25 @@ class Finder:
             if _OTHER_NUMBER.search(before):
                 continue
             presented = _ID_WORDS.search(before) is not None
-            shape = 0.35 if len(digits) in (8, 9, 10, 12, 18) else 0.25
-            score = shape + 0.45 * presented + 0.1 * (luhn(digits) or mod97(digits))
             if presented:
-                yield Span(start, m.end(), "id_number", score)
+                # The text says what it is: its key adds to that, a wrong one doesn't take it back.
+                shape = 0.35 if len(digits) in (8, 9, 10, 12, 18) else 0.25
+                yield Span(start, m.end(), "id_number", shape + 0.45 + 0.1 * (luhn(digits) or mod97(digits)))
             elif dialable(raw):
                 near = _PHONE_WORDS.search(before) or _PHONE_WORDS.match(after.lstrip())
                 mobile = re.search(r"^(?:(?:\+|00|\()*\s*\+?213\)?|0)\D?0?\D?[567]", raw) is not None
                 yield Span(start, m.end(), "phone", 0.3 + 0.2 * mobile + 0.15 * ("213" in raw[:6]) + 0.3 * (near is not None) + 0.2 * (len(digits) == 9))
+            else:
+                # Nothing presents it: a card or keyed number stands by its checksum alone, and by nothing else.
+                told = _MONEY_WORDS.search(before) is not None
+                key = (card(digits) and not raw[0].isalpha()) or keyed(digits)
+                yield Span(start, m.end(), "id_number", 0.2 + 0.2 * told + 0.4 * key)
+        for m in _ABROAD.finditer(text) if "+" in text or "00" in text else ():
+            before = text[max(0, m.start() - NEAR) : m.start()]
+            if not (_ID_WORDS.search(before) or _OTHER_NUMBER.search(before) or _MONEY_WORDS.search(before)):
+                yield Span(m.start(), m.end(), "phone", 0.35 + 0.3 * (_PHONE_WORDS.search(before) is not None) + 0.25 * (m.group()[0] == "+"))
+        for m in _IBAN.finditer(text):
+            yield Span(m.start(), m.end(), "id_number", 0.2 + 0.2 * (_MONEY_WORDS.search(text[max(0, m.start() - NEAR) : m.start()]) is not None) + 0.5 * iban(m.group()))
 
     def _names(self, text: str) -> Iterator[Span]:
         tokens = None
