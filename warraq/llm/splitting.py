@@ -67,6 +67,8 @@ class Places:
         self.chars: list[int] = []
         self.toks: list[int] = []
         self.strong = np.zeros(0, dtype=np.int64)
+        #: Places by strength, the strongest first.
+        self.levels: list[tuple[int, list[int]]] = []
 
     def prepare(self) -> None:
         """Strengths, and the places inside big pre-tokens."""
@@ -106,6 +108,7 @@ class Places:
             self.strong = np.concatenate((strong, np.full(len(ic), INSIDE)))[order]
         else:
             self.chars, self.toks, self.strong = self.pre_chars, self.pre_toks, strong
+        self.levels = [(s, np.flatnonzero(self.strong == s).tolist()) for s in sorted(set(self.strong.tolist()), reverse=True)]
 
     def inside(self, k: int) -> tuple[list[int], list[int]]:
         """(characters, tokens) of the token ends inside pre-token ``k`` that are character ends."""
@@ -174,31 +177,33 @@ class Splitter:
         self.encoder = encoder
 
     @staticmethod
-    def _cuts(toks: list[int], strong: np.ndarray, limit: int) -> list[int]:
+    def _place(toks: list[int], levels: list[tuple[int, list[int]]], a: int, z: int) -> int:
+        """Index of the place between ``a`` and ``z`` to cut at: the strongest near the midpoint; -1 if there is none."""
+        size, mid = toks[z] - toks[a], (toks[a] + toks[z]) / 2
+        # The middle half first; all of the span where that has no word end, or no place at all.
+        for share, least in ((0.25, WORD), (0.5, WORD), (0.25, INSIDE), (0.5, INSIDE)):
+            lo = bisect_left(toks, mid - size * share, a + 1, z)
+            hi = bisect_right(toks, mid + size * share, a + 1, z)
+            if lo >= hi:
+                continue
+            for strength, places in levels:
+                if strength < least:
+                    break
+                if (first := bisect_left(places, lo)) < len(places) and places[first] < hi:
+                    # The nearest of the strongest on either side of the midpoint.
+                    k = bisect_left(places, bisect_left(toks, mid, lo, hi), first)
+                    return min((places[q] for q in (k - 1, k) if first <= q < len(places) and places[q] < hi), key=lambda q: abs(toks[q] - mid))
+        return -1
+
+    def _cuts(self, toks: list[int], levels: list[tuple[int, list[int]]], limit: int) -> list[int]:
         """Indexes of the places to cut at, in order."""
         cuts: list[int] = []
         todo = [(0, len(toks) - 1)]
         while todo:
             a, z = todo.pop()
-            size = toks[z] - toks[a]
-            if size <= limit or z - a < 2:
-                continue
-            mid = (toks[a] + toks[z]) / 2
-            best = -1
-            # The middle half first; all of the span where that has no word end, or no place at all.
-            for share, least in ((0.25, WORD), (0.5, WORD), (0.25, INSIDE), (0.5, INSIDE)):
-                lo = bisect_left(toks, mid - size * share, a + 1, z)
-                hi = bisect_right(toks, mid + size * share, a + 1, z)
-                if lo < hi and (top := strong[lo:hi].max()) >= least:
-                    # The nearest of the strongest on either side of the midpoint.
-                    where = np.flatnonzero(strong[lo:hi] == top)
-                    k = int(where.searchsorted(bisect_left(toks, mid, lo, hi) - lo))
-                    best = lo + min((int(where[q]) for q in (k - 1, k) if 0 <= q < len(where)), key=lambda q: abs(toks[lo + q] - mid))
-                    break
-            if best < 0:
-                continue
-            cuts.append(best)
-            todo += [(a, best), (best, z)]
+            if toks[z] - toks[a] > limit and z - a > 1 and (best := self._place(toks, levels, a, z)) >= 0:
+                cuts.append(best)
+                todo += [(a, best), (best, z)]
         return sorted(cuts)
 
     def split(self, text: str, limits: list[tuple[int, int]]) -> list[list[tuple[int, int, int, int]]]:
@@ -217,7 +222,7 @@ class Splitter:
 
     def _pieces(self, p: Places, most: int, overlap: int) -> list[tuple[int, int, int, int]]:
         places, toks = p.chars, p.toks
-        edges = [0, *self._cuts(toks, p.strong, max(1, most - overlap)), len(places) - 1]
+        edges = [0, *self._cuts(toks, p.levels, max(1, most - overlap)), len(places) - 1]
         todo = [(edges[k], edges[k + 1]) for k in range(len(edges) - 1)][::-1]
         out: list[tuple[int, int, int, int]] = []
         while todo:
@@ -227,8 +232,9 @@ class Splitter:
                 continue
             n = p.count(start, stop)
             if n > most and z - a > 1:
-                # Encoded alone a span can need a few tokens more; halve it once again.
-                m = (a + z) // 2
+                # Encoded alone a span can need a few tokens more: it is cut once again, in the same way.
+                m = self._place(toks, p.levels, a, z)
+                m = m if m > 0 else (a + z) // 2
                 todo += [(m, z), (a, m)]
                 continue
             first = start
