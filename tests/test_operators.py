@@ -4,6 +4,8 @@ import json
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from warraq.functions import html
@@ -34,6 +36,35 @@ def test_per_key(spark):
     assert got == {k: (w[0], len(w[1]), w[2], w[3]) for k, w in want.items()}
 
 
+def test_heavy_keys_by_refinement(spark):
+    rows = [("a",)] * 400 + [("b",)] * 31 + [(None,)] * 300 + [(f"k{i}",) for i in range(269)]
+    df = spark.createDataFrame(rows, "k string")
+    assert {(r.key_value, r.records, r.share) for r in hotkeys.heavy_keys(df, "k", 0.03).collect()} == {("a", 400, 0.4), ("b", 31, 0.031)}
+    assert {r.key_value for r in hotkeys.heavy_keys(df, "k", 0.031).collect()} == {"a", "b"}
+    assert {r.key_value for r in hotkeys.heavy_keys(df, "k", 0.0311).collect()} == {"a"}
+    assert hotkeys.heavy_keys(df.limit(0), "k").count() == 0 and hotkeys.heavy_keys(df.filter("k is null"), "k").count() == 0
+
+
+def test_quantiles_of_any_size_and_none_out_of_range(spark):
+    r = np.random.RandomState(1)
+    rows = [("ab"[i % 2] if i % 7 else None, int(v)) for i, v in enumerate(r.randint(0, 1 << 45, 500))]
+    df = spark.createDataFrame(rows, "k string, v bigint")
+    got = {(x.key_value, x.prob): x.value for x in hotkeys.quantiles(df, "k", F.col("v"), [0.1, 0.5, 1.0]).collect()}
+    for k in ("a", "b", None):
+        vs = sorted(v for kk, v in rows if kk == k)
+        assert [got[k, p] for p in (0.1, 0.5, 1.0)] == [vs[max(1, int(np.ceil(p * len(vs)))) - 1] for p in (0.1, 0.5, 1.0)]
+    with pytest.raises(ValueError, match="bits"):
+        hotkeys.quantiles(df, "k", F.col("v"), [0.5], bits=32)
+    with pytest.raises(ValueError, match="non-negative"):
+        hotkeys.quantiles(df, "k", -F.col("v"), [0.5])
+
+
+def test_slots_are_ranks(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0] if i % 11 else None) for i in range(3000)], "id bigint, s string")
+    want = {(r.id, (r.rank > 5) + (r.rank > r.size * 0.5)) for r in sampling.ranked(df, "id", "s", 3).collect()}
+    assert {(r.id, r.slot) for r in sampling.slots(df, "id", "s", 3, lambda n: [F.lit(5), n * 0.5]).collect()} == want
+
+
 def test_hot_keys_and_quantiles(spark):
     df = _hot(spark, ROWS)
     res = hotkeys.per_key(df, "k", "item", "text", "day")

@@ -2,7 +2,8 @@
 
 128 permutations over character 4-shingles, 9 bands of 13 values (the split
 that balances both errors at threshold 0.8).  The result is greedy in order: a
-text is compared with kept texts only.  Exact copies collapse first.
+text is compared with kept texts only.  Texts with the same signature share all
+bands, and so their fate: only the first of them is compared.
 """
 
 from __future__ import annotations
@@ -102,7 +103,10 @@ def keep_first(df: DataFrame, id_col: str, text_col: str, index: DataFrame | Non
     are stars, widened round by round to the members still undecided: never all pairs of a bucket.
     """
     sig = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", signature(F.col("text")).alias("sig"))
-    b = stored(bands(sig, "id", "sig"), "bands")
+    signed = stored(sig.filter("sig is not null").select("id", "sig", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(7), "sig").alias("h2")), "signed")
+    firsts = stored(signed.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first"), "firsts")
+    copies = stored(signed.select("id", "h1", "h2").join(firsts, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id", "first"), "copies")
+    b = stored(bands(signed.join(copies, "id", "left_anti"), "id", "sig"), "bands")
     undecided = b
     if index is not None:
         hit = stored(b.join(index.select("band", "key").distinct(), ["band", "key"], "left_semi").select("id").distinct().withColumn("dup_of", F.lit(None).cast("bigint")), "hit")
@@ -127,6 +131,10 @@ def keep_first(df: DataFrame, id_col: str, text_col: str, index: DataFrame | Non
     for r in rejected:
         out = r if out is None else out.unionByName(r)
     if out is None:
-        return everything.select("id", F.lit(True).alias("kept"), F.lit(None).cast("bigint").alias("dup_of"))
+        out = copies.select("id", F.col("first").alias("dup_of"))
+    else:
+        # A copy repeats its first, or what that repeats.
+        fate = out.select(F.col("id").alias("first"), "dup_of", F.lit(True).alias("out"))
+        out = out.unionByName(copies.join(fate, "first", "left").select("id", F.when(F.col("out"), F.col("dup_of")).otherwise(F.col("first")).alias("dup_of")))
     marks = out.withColumn("gone", F.lit(True))
     return everything.join(marks, "id", "left").select("id", F.col("gone").isNull().alias("kept"), "dup_of")

@@ -26,16 +26,17 @@ def joined_ngrams(tokens: Column, n: int) -> Column:
 def counts_by_source(df: DataFrame, arr: str, name: str) -> DataFrame:
     """Counts of array items of rows (source, id, array) by two sources, and the number of rows that hold them.
 
-    An item's repeats in a row are combined map-side first, as a row lies in one task; a frequent
-    item is spread over its rows until then.
+    Sorted, an item's repeats in a row are neighbours, so the first of each is known in the row: one shuffle, of the items'
+    partial counts, combined map-side; a frequent item costs a row a task.
     """
-    own = df.select("source", "id", F.explode(arr).alias("t")).groupBy("t", "source", "id").agg(F.count(F.lit(1)).alias("n"))
-    return own.groupBy(F.col("t").alias(name)).agg(
-        F.sum("n").alias("total_count"),
-        F.coalesce(F.sum(F.when(F.col("source") == "youtube", F.col("n"))), F.lit(0)).cast("bigint").alias("youtube_count"),
-        F.coalesce(F.sum(F.when(F.col("source") == "djelfa", F.col("n"))), F.lit(0)).cast("bigint").alias("djelfa_count"),
-        F.count(F.lit(1)).alias("doc_count"),
-    )
+    own = df.select("source", F.array_sort(arr).alias("s"))
+    marked = F.transform("s", lambda x, i: F.struct(x.alias("t"), ((i == 0) | (F.try_element_at(F.col("s"), F.greatest(i, F.lit(1))) != x)).alias("first")))
+    items = own.select("source", F.explode(marked).alias("x")).select("source", F.col("x.t").alias(name), F.col("x.first").alias("first"))
+
+    def of(source: str) -> Column:
+        return F.count_if(F.coalesce(F.col("source") == source, F.lit(False)))
+
+    return items.groupBy(name).agg(F.count(F.lit(1)).alias("total_count"), of("youtube").alias("youtube_count"), of("djelfa").alias("djelfa_count"), F.count_if("first").alias("doc_count"))
 
 
 def trigrams(df: DataFrame, tokens: Column) -> DataFrame:
