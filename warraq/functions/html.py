@@ -142,3 +142,23 @@ def threads_column(c: Column) -> Column:
         return s.map(lambda h: [{"thread_id": a, "title": b} for a, b in threads(h)])
 
     return threads_udf(c)
+
+
+def links_column(c: Column, scope: str | None = None, header: bool = False) -> Column:
+    """Array of forum links of a page; explode with ``inline``."""
+
+    @F.pandas_udf("array<struct<forum_id:string,title:string>>")
+    def links_udf(s: pd.Series) -> pd.Series:
+        return s.map(lambda h: [{"forum_id": a, "title": b} for a, b in forum_links(h, scope, header)])
+
+    return links_udf(c)
+
+
+def has_next_column(c: Column) -> Column:
+    """Whether a page has a next one; false for null."""
+
+    @F.pandas_udf("boolean")
+    def next_udf(s: pd.Series) -> pd.Series:
+        return s.map(has_next).astype(bool)
+
+    return next_udf(c)

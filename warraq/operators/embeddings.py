@@ -49,6 +49,15 @@ def spearman(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
     return r.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("spearman"))
 
 
+def looked_up(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ..) with ``cosine`` of the vectors (id, vec) of both; null where either word has none."""
+    x = vectors.select(F.col("id").alias("a"), F.col("vec").alias("__x"))
+    y = vectors.select(F.col("id").alias("b"), F.col("vec").alias("__y"))
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    known = F.col("__x").isNotNull() & F.col("__y").isNotNull()
+    return both.withColumn("cosine", F.when(known, cosine(F.col("__x"), F.col("__y")))).drop("__x", "__y")
+
+
 def neighbours(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """(query, neighbour, cosine, place): exact k nearest other vectors; ties by id.
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, evaluation, hot, profile, relational, vocabulary
+from . import cleaning, corpus, evaluation, hot, profile, relational, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (profile, cleaning, vocabulary, relational, evaluation, hot)
+_MODULES = (profile, cleaning, vocabulary, relational, evaluation, corpus, hot)
 
 
 def queries() -> dict[str, Query]:
