@@ -4,7 +4,8 @@ Every document gets an exponential key scaled by its quality weight
 (Efraimidis-Spirakis: small keys first, heavy documents earlier).  The size of
 the mix is the largest for which no source needs more than its allowed
 repeats.  A source gives whole epochs first; the rest of its budget is the
-prefix, in key order, whose token sum comes closest to it.
+prefix in key order that fits it, whatever its documents' sizes, and the gap
+before the document that would exceed it is filled by the next that fit.
 
 The prefix sum needs no task that holds a source: keys are binned by source,
 bin sums (mergeable) give the bin in which the budget ends, and only that
@@ -29,6 +30,9 @@ from .tokens import DEFAULT, token_count
 
 #: Bins of keys a source is cut into; documents of one bin of one source are sorted together.
 BINS = 65_536
+#: Passes over the keys: the first takes a prefix whatever its documents' sizes; the others fill the gap that the document in
+#: which the budget ends leaves, which is less than that document, with the next ones that fit.
+PASSES = 3
 
 
 def quality(text: Column) -> Column:
@@ -53,28 +57,40 @@ class Mix:
     shares: DataFrame
 
 
-def _prefix(wanted: DataFrame, rest: dict[str, float]) -> DataFrame:
-    """(id, source, tokens): of each source the documents first in key order whose tokens come closest to its rest.
+def _prefix(wanted: DataFrame, state: list[tuple], filling: bool, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(documents of the prefix that fits each source's budget, per source the first that didn't and what was taken).
 
-    Whether a document is taken depends on its key and on what lies before it, never on its own size, but for the one
-    in which the budget ends: it is taken if that comes closer.
+    ``state`` has (source, budget, key, id): documents after that key; ``filling``: none larger than the budget.
     """
     spark = wanted.sparkSession
+    kind = wanted.schema["id"].dataType.simpleString()
     # As many rows as target sources.
-    now = F.broadcast(spark.createDataFrame([(s, float(r)) for s, r in rest.items()], "source string, rest double"))
+    now = F.broadcast(spark.createDataFrame(state, f"source string, rest double, key0 double, id0 {kind}"))
+    later = (F.col("key") > F.col("key0")) | ((F.col("key") == F.col("key0")) & F.coalesce(F.col("id") > F.col("id0"), F.lit(True)))
     # Monotone in the key, and near even over documents of every weight.
-    binned = wanted.join(now, "source").withColumn("bin", F.floor(F.col("key") / (F.lit(1.0) + F.col("key")) * BINS).cast("int"))
+    bin_no = F.floor(F.col("key") / (F.lit(1.0) + F.col("key")) * BINS).cast("int")
+    fit = F.col("tokens") <= F.col("rest") if filling else F.lit(True)
+    binned = wanted.join(now, "source").filter(later & fit).withColumn("bin", bin_no)
     sums = binned.groupBy("source", "bin", "rest").agg(F.sum("tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = sums.withColumn("before", before).filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest")))
     edge = spark.createDataFrame(edge.select("source", F.col("bin").alias("edge"), "before").collect(), "source string, edge int, before bigint")
     marked = binned.join(F.broadcast(edge), "source", "left")
-    order = Window.partitionBy("source", "bin").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = marked.filter(F.col("bin") == F.col("edge")).withColumn("upto", F.col("before") + F.sum("tokens").over(order))
+    order = Window.partitionBy("source", "bin").orderBy("key", "id")
+    ranked = marked.filter(F.col("bin") == F.col("edge")).withColumn(
+        "upto", F.col("before") + F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
     under = F.col("rest") - (F.col("upto") - F.col("tokens"))
-    fits = (F.col("upto") <= F.col("rest")) | ((under >= 0) & (F.col("upto") - F.col("rest") < under))
-    whole = marked.filter(F.col("edge").isNull() | (F.col("bin") < F.col("edge")))
-    return whole.select("id", "source", "tokens").unionByName(ranked.filter(fits).select("id", "source", "tokens"))
+    fits = F.col("upto") <= F.col("rest")
+    if last:
+        # The document that crosses the budget is taken if that comes closer.
+        fits = fits | ((under >= 0) & (F.col("upto") - F.col("rest") < under))
+    taken = marked.filter(F.col("edge").isNull() | (F.col("bin") < F.col("edge"))).select("id", "source", "tokens").unionByName(
+        ranked.filter(fits).select("id", "source", "tokens")
+    )
+    first = F.min_by(F.struct("key", "id", (F.col("upto") - F.col("tokens")).alias("took")), F.struct("key", "id"))
+    cross = ranked.filter(F.col("upto") > F.col("rest")).groupBy("source").agg(first.alias("x")).select("source", "x.key", "x.id", "x.took")
+    return taken, cross
 
 
 def mix(
@@ -113,8 +129,24 @@ def mix(
     spark = df.sparkSession
     plan = spark.createDataFrame([(s, int(epochs[s]), float(rest[s])) for s in have] or [("", 0, 0.0)], "source string, epochs int, rest double")
 
-    rest = {s: r for s, r in rest.items() if r > 0}
-    extra = _prefix(wanted, rest) if rest else wanted.select("id", "source", "tokens").limit(0)
+    # Pass by pass: the prefix that fits, then past the document that didn't, with those that still fit.
+    parts, at = [], {s: (0.0, None) for s in have}
+    for no in range(PASSES):
+        state = [(s, float(rest[s]), at[s][0], at[s][1]) for s in have if rest[s] >= 1 and at[s] is not None]
+        if not state:
+            break
+        taken, cross = _prefix(wanted, state, filling=no > 0, last=no == PASSES - 1)
+        parts.append(taken)
+        ends = {r["source"]: r for r in cross.collect()}
+        for s, *_ in state:
+            if s in ends:
+                rest[s] -= ends[s]["took"]
+                at[s] = (ends[s]["key"], ends[s]["id"])
+            else:
+                rest[s] = 0.0
+    extra = parts[0] if parts else wanted.select("id", "source", "tokens").limit(0)
+    for part in parts[1:]:
+        extra = extra.unionByName(part)
     whole = wanted.join(F.broadcast(plan), "source").filter("epochs > 0").select("id", "source", "tokens", F.col("epochs").alias("copies"))
     documents = whole.unionByName(extra.withColumn("copies", F.lit(1))).groupBy("id", "source", "tokens").agg(F.sum("copies").cast("int").alias("copies"))
     reached = documents.groupBy("source").agg(
