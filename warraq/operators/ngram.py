@@ -104,8 +104,9 @@ def _discount(n: Column, d: tuple[float, float, float]) -> Column:
 def kneser_ney(df: DataFrame, arr: str) -> dict[str, DataFrame]:
     """Interpolated trigram model as tables: ``p3`` (w1,w2,w3,p), ``p2`` (w2,w3,p), ``p1`` (w3,p), back-off weights ``b3``, ``b2`` and the unknown's ``p0``."""
     tri = stored(trigrams(df, F.col(arr)), "tri")
-    # Lower orders use continuation counts: in how many contexts an n-gram appears.
-    bi = stored(tri.groupBy("w2", "w3").agg(F.count(F.lit(1)).alias("n")), "bi")
+    # Lower orders use continuation counts: in how many contexts an n-gram appears.  What begins a sentence has one
+    # context only, so its own counts are kept.
+    bi = stored(tri.groupBy("w2", "w3").agg(F.when(F.col("w2") == BOS, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n")), "bi")
     uni = stored(bi.groupBy("w3").agg(F.count(F.lit(1)).alias("n")), "uni")
     d3, d2, d1 = _discounts(tri), _discounts(bi), _discounts(uni)
 

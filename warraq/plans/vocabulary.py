@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ngram
 from ..operators.registry import Registry
+from . import profile
 from . import sqltext as S
 
 query = Registry()
@@ -117,14 +118,46 @@ def next_token_dist(spark: SparkSession, d: str) -> DataFrame:
     return ngram.next_tokens(ngram_counts(spark, d), prefixes, temperature=0.8)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS ({_TRI}), two AS (SELECT w2, w3, sum(n) AS n FROM t GROUP BY ALL), one AS (SELECT w3, sum(n) AS n FROM t WHERE w3 <> '</s>' GROUP BY w3),
+b3 AS (SELECT w1, w2, arg_max(w3, ROW(n, w3)) AS x3 FROM t GROUP BY w1, w2), b2 AS (SELECT w2, arg_max(w3, ROW(n, w3)) AS x2 FROM two GROUP BY w2), b1 AS (SELECT arg_max(w3, ROW(n, w3)) AS x1 FROM one),
+r AS (SELECT prefix_id, 0 AS step, w1, w2, '' AS token FROM (VALUES (1, '<s>', '<s>'), (2, 'la', 'belle'), (3, 'had', 'lbab')) p(prefix_id, w1, w2) UNION ALL
+  SELECT r.prefix_id, r.step + 1, r.w2, coalesce(x3, x2, x1), coalesce(x3, x2, x1) FROM r LEFT JOIN b3 USING (w1, w2) LEFT JOIN b2 ON b2.w2 = r.w2, b1 WHERE r.step < 8 AND r.token <> '</s>')
+SELECT prefix_id, step::INT AS step, token FROM r WHERE step > 0"""
+)
 def backoff_complete_argmax(spark: SparkSession, d: str) -> DataFrame:
     """Greedy completion of prefixes up to eight tokens."""
     prefixes = spark.createDataFrame([(1, "<s>", "<s>"), (2, "la", "belle"), (3, "had", "lbab")], "prefix_id int, w1 string, w2 string")
     return ngram.complete(ngram_counts(spark, d), prefixes, 8)
 
 
-@query()
+def _discounts(t: str) -> str:
+    """Discounts d1, d2, d3 of a table of counts, the usual fallbacks for small or odd ones."""
+    d = {1: "1 - 2 * y * n2 / n1", 2: "2 - 3 * y * n3 / n2", 3: "3 - 4 * y * n4 / n3"}
+    each = ", ".join(f"CASE WHEN n1 = 0 OR n2 = 0 OR n3 = 0 OR {e} <= 0 THEN {k / 2} ELSE {e} END AS d{k}" for k, e in d.items())
+    return f"SELECT {each} FROM (SELECT *, n1 / (n1 + 2.0 * n2)::DOUBLE AS y FROM (SELECT {', '.join(f'count(*) FILTER (n = {k})::DOUBLE AS n{k}' for k in range(1, 5))} FROM {t}))"
+
+
+_CUT = "CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"
+_KN = f"""WITH x AS (SELECT * FROM (SELECT doc_id, batch_no, {profile._DOC_SCRIPT.replace(' w,', ' ww,').replace('(w,', '(ww,')} AS bucket, w FROM (SELECT doc_id, batch_no, {S.words('text')} AS ww, {S.vocabulary('text')} AS w FROM documents WHERE text IS NOT NULL)) WHERE bucket IS NOT NULL),
+g AS (SELECT doc_id, batch_no, w[i - 2] AS w1, w[i - 1] AS w2, w[i] AS w3 FROM (SELECT doc_id, batch_no, w, unnest(range(3, len(w) + 1)) AS i FROM (SELECT doc_id, batch_no, ['<s>', '<s>'] || w || ['</s>'] AS w FROM x))),
+tri AS (SELECT w1, w2, w3, count(*) AS n FROM g WHERE batch_no = 0 GROUP BY ALL),
+bi AS (SELECT w2, w3, CASE WHEN w2 = '<s>' THEN sum(n) ELSE count(*) END AS n FROM tri GROUP BY w2, w3),
+uni AS (SELECT w3, count(*) AS n FROM bi GROUP BY w3),
+e3 AS ({_discounts('tri')}), e2 AS ({_discounts('bi')}), e1 AS ({_discounts('uni')}),
+t1 AS (SELECT sum(n)::DOUBLE AS total, sum({_CUT}) AS gone, count(*) + 1 AS types FROM uni, e1),
+p0 AS (SELECT gone / total / types AS p0 FROM t1),
+p1 AS (SELECT w3, (n - {_CUT}) / total + p0 AS p1 FROM uni, e1, t1, p0),
+c2 AS (SELECT w2, sum(n)::DOUBLE AS total, sum({_CUT}) AS gone FROM bi, e2 GROUP BY w2),
+p2 AS (SELECT bi.w2, bi.w3, (n - {_CUT}) / total + gone / total * p1 AS p2 FROM bi JOIN c2 USING (w2) JOIN p1 USING (w3), e2),
+c3 AS (SELECT w1, w2, sum(n)::DOUBLE AS total, sum({_CUT}) AS gone FROM tri, e3 GROUP BY w1, w2),
+p3 AS (SELECT tri.w1, tri.w2, tri.w3, (n - {_CUT}) / total + gone / total * p2 AS p3 FROM tri JOIN c3 USING (w1, w2) JOIN p2 USING (w2, w3), e3),
+s AS (SELECT g.doc_id, sum(log10(coalesce(p3, coalesce(c3.gone / c3.total, 1) * coalesce(p2, coalesce(c2.gone / c2.total, 1) * coalesce(p1, p0))))) AS lp, count(*) FILTER (p1 IS NULL) AS oov, count(*) AS tokens
+  FROM g LEFT JOIN p3 USING (w1, w2, w3) LEFT JOIN p2 ON p2.w2 = g.w2 AND p2.w3 = g.w3 LEFT JOIN p1 ON p1.w3 = g.w3 LEFT JOIN c3 ON c3.w1 = g.w1 AND c3.w2 = g.w2 LEFT JOIN c2 ON c2.w2 = g.w2, p0 WHERE batch_no > 0 GROUP BY g.doc_id)
+SELECT bucket, count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS words, round(pow(10.0, -sum(lp) / nullif(sum(len(w)), 0)), 4) AS perplexity_per_word, round(sum(oov) / sum(tokens), 6) AS oov_token_rate FROM x JOIN s USING (doc_id) GROUP BY bucket"""
+
+
+@query(_KN)
 def kn_perplexity(spark: SparkSession, d: str) -> DataFrame:
     """Modified Kneser-Ney trigram model of the history, scored on the new batches, by script bucket."""
     x = spark.read.parquet(f"{d}/documents.parquet").filter("text is not null").select("doc_id", "batch_no", T.document_script(F.col("text")).alias("bucket"), T.vocabulary_tokens(F.col("text")).alias("w")).filter("bucket is not null")
