@@ -90,10 +90,13 @@ def digest(sig: Column) -> Column:
     return F.concat_ws("", F.transform(F.slice(sig, 1, 8), lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))))
 
 
+def _keys(sig_col: str) -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), F.slice(sig_col, b * ROWS + 1, ROWS)) for b in range(BANDS)])
+
+
 def bands(df: DataFrame, id_col: str, sig_col: str) -> DataFrame:
     """(id, band, key): a row a band; the key is a 64-bit hash of its values."""
-    keys = F.array(*[F.xxhash64(F.lit(b), F.slice(sig_col, b * ROWS + 1, ROWS)) for b in range(BANDS)])
-    return df.filter(F.col(sig_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(keys).alias("band", "key"))
+    return df.filter(F.col(sig_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(_keys(sig_col)).alias("band", "key"))
 
 
 def keep_first(df: DataFrame, id_col: str, text_col: str, index: DataFrame | None = None) -> DataFrame:
@@ -103,10 +106,12 @@ def keep_first(df: DataFrame, id_col: str, text_col: str, index: DataFrame | Non
     are stars, widened round by round to the members still undecided: never all pairs of a bucket.
     """
     sig = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", signature(F.col("text")).alias("sig"))
-    signed = stored(sig.filter("sig is not null").select("id", "sig", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(7), "sig").alias("h2")), "signed")
-    firsts = stored(signed.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first"), "firsts")
-    copies = stored(signed.select("id", "h1", "h2").join(firsts, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id", "first"), "copies")
-    b = stored(bands(signed.join(copies, "id", "left_anti"), "id", "sig"), "bands")
+    # Of a signature only the band keys and a hash are kept: a tenth of it.
+    signed = stored(sig.filter("sig is not null").select("id", _keys("sig").alias("keys"), F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(7), "sig").alias("h2")), "signed")
+    own = signed.select("id", "h1", "h2")
+    firsts = own.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = stored(own.join(firsts, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id", "first"), "copies")
+    b = stored(signed.join(copies, "id", "left_anti").select("id", F.posexplode("keys").alias("band", "key")), "bands")
     undecided = b
     if index is not None:
         hit = stored(b.join(index.select("band", "key").distinct(), ["band", "key"], "left_semi").select("id").distinct().withColumn("dup_of", F.lit(None).cast("bigint")), "hit")
