@@ -56,6 +56,48 @@ def test_pairs_are_verified_well_below_the_usual_agreement(spark):
     assert {tuple(r) for r in history.alike(pairs, df, df).collect()} == {(1, 0), (2, 0), (5, 4), (5, 0)}
 
 
+def test_unlike_long_texts_end_where_they_meet(spark):
+    # Same range, same size: 45 of 80 functions agree for one, 46 for another; short texts carry no signatures.
+    def words(differ):
+        return [x - (1 << 64) if (x := sum(((16 * w + k) < differ) << (4 * k + 3) for k in range(16))) >> 63 else x for w in range(5)]
+
+    rows = [(7, 7 << 32, 0, 900, words(0)), (7, 7 << 32, 1, 900, words(34)), (7, 7 << 32, 2, 900, words(35)), (7, 7 << 32, 3, 900, None)]
+    df = spark.createDataFrame(rows, "route bigint, label bigint, ord bigint, n int, fours array<bigint>")
+    asked = history.lookups(df, 5)
+    got = lambda x: {tuple(r) for r in x.filter("kept = 0").collect()}
+    for exact, want in ((False, {(1, 0), (3, 0)}), (True, {(1, 0), (2, 0), (3, 0)})):
+        assert got(history.candidates(asked, df, 5, exact=exact)) == want
+        assert got(history.meetings(asked, asked, exact=exact)) == want
+
+
+def test_pairs_of_unlike_long_texts_are_not_stored(spark, monkeypatch):
+    import random
+
+    from test_llm import _brute, _frame, _pairs
+
+    # Long texts of few words resemble each other, though none repeats another but the one copy with a word changed.
+    r = random.Random(5)
+    some = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(260)]
+    rows = [(int(k >= 100), k, " ".join(r.choices(some, k=250))) for k in range(200)]
+    rows.append((1, 200, rows[3][2] + " more"))
+    forest = history.build(spark, _frame(spark, [x for x in rows if x[0] == 0]))
+    pairs, real = [], history._Steps.__call__
+    monkeypatch.setattr(history._Steps, "__call__", lambda self, df: (lambda t: (pairs.append(t.count()) if t.columns == ["dup", "kept"] else None, t)[1])(real(self, df)))
+    new = _frame(spark, [x for x in rows if x[0] == 1])
+    assert _pairs(history.admit(forest, new, commit=False, exact=True)) == {(3, 200)}
+    met = sum(pairs)
+    pairs.clear()
+    got = _pairs(history.admit(forest, new))
+    # The run's entries are sent without the head of the label, and read as they were.
+    e = spark.table(forest.name)
+    assert e.filter(f"(route & {(1 << 24) - 1}) <> shiftright(label, 32) or n < {history.LONG} or size(fours) <> 5").isEmpty()
+    signed = history.sign(new)
+    assert {(x.ord, x.label, x.n) for x in e.filter("run = 1").collect()} == {(x.ord, x.label, x.n) for x in history._entries(signed).collect()}
+    forest.drop()
+    assert got == _brute(rows) == {(3, 200)}
+    assert met > 1000 and sum(pairs) < 0.2 * met
+
+
 def test_exact_look_up_gives_the_same(spark):
     from test_llm import _brute, _frame, _history_rows, _pairs
 

@@ -18,7 +18,9 @@ label can't reach is an error.  The history's entries aren't moved: look-ups
 are sent to its buckets, and those of a small delivery read only the buckets
 they fall in.  Pairs whose set sizes exclude the threshold are left out, and
 those whose signatures exclude it for all but about two pairs in a million at
-the threshold (``AGREE``, ``BOTH``; ``exact`` verifies them too).  Every other
+the threshold (``AGREE``, ``BOTH``; ``exact`` verifies them too).  Unlike long
+texts of one language meet in number like the square of the texts, so entries of
+long texts carry their signature, and such pairs end where they meet.  Every other
 pair is verified by its texts' exact similarity; the raw history is never read.
 
 What is decided (arrival order is ``ord``): rows of the history are accepted;
@@ -66,6 +68,7 @@ LEAST = 60
 AGREE = 46
 #: Least shingles of a long text, of which the ``BOTTOM`` smallest hashes are kept too: for two long texts, the functions that
 #: agree and the smallest hashes of both that either has are 144 trials; at the threshold 115 hit, fewer than 91 for one pair in a million.
+#: Entries of long texts carry the four bits of every function.
 LONG, BOTTOM, BOTH = 256, 64, 91
 #: Texts of a range that are paired out; wider ranges are thinned by their first texts before.
 WIDE = 64
@@ -85,7 +88,7 @@ RUNS, TIER = 3, 1.2
 _WS = re.compile(r"\s+")
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 31, size=(2, FUNCTIONS), dtype=np.uint32)
 _MUL, _XOR = _ODD[0] * np.uint32(2) + np.uint32(1), _ODD[1]
-_ENTRY = "route bigint, label bigint, ord bigint, n int"
+_ENTRY, _LONG = "route bigint, label bigint, ord bigint, n int", "fours array<bigint>"
 
 
 def reached(depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
@@ -251,10 +254,10 @@ def copies_of(signed: DataFrame, step: Callable[[DataFrame], DataFrame]) -> Data
 
 
 def _entries(texts: DataFrame) -> DataFrame:
-    """Forest entries (route, label, ord, n) of distinct texts; the route is name space, tree and head of the label."""
-    e = texts.select("ord", "n", space_of(F.col("ord")).alias("space"), F.posexplode("labels").alias("tree", "label"))
+    """Forest entries (route, label, ord, n, fours of long texts) of distinct texts; the route is name space, tree and head of the label."""
+    e = texts.select("ord", "n", F.when(F.col("n") >= LONG, F.col("fours")).alias("fours"), space_of(F.col("ord")).alias("space"), F.posexplode("labels").alias("tree", "label"))
     tree = (F.col("space") * TREES + F.col("tree")).cast("bigint")
-    return e.select(F.shiftleft(tree, 8 * HEAD).bitwiseOR(F.shiftrightunsigned("label", 8 * (LABEL - HEAD))).alias("route"), "label", "ord", "n")
+    return e.select(F.shiftleft(tree, 8 * HEAD).bitwiseOR(F.shiftrightunsigned("label", 8 * (LABEL - HEAD))).alias("route"), "label", "ord", "n", "fours")
 
 
 def _low(label: Column, depth: int) -> Column:
@@ -318,7 +321,7 @@ class Forest:
         # The bucketing is known to a table only; its definition is made anew for every application, the files stay.
         self.name = f"forest_{uuid.uuid4().hex}"
         self.spark.sql(
-            f"CREATE TABLE {self.name} ({_ENTRY}, run int) USING parquet OPTIONS (path '{self.path}/entries') PARTITIONED BY (run) CLUSTERED BY (route) SORTED BY (route, label) INTO {self.buckets} BUCKETS"
+            f"CREATE TABLE {self.name} ({_ENTRY}, {_LONG}, run int) USING parquet OPTIONS (path '{self.path}/entries') PARTITIONED BY (run) CLUSTERED BY (route) SORTED BY (route, label) INTO {self.buckets} BUCKETS"
         )
         if self.runs:
             self.spark.catalog.recoverPartitions(self.name)
@@ -336,7 +339,11 @@ class Forest:
 
     def _write(self, entries: DataFrame, run: int) -> int:
         """Write a run, one sorted file a bucket; the number of its entries."""
-        by_bucket = entries.select("route", "label", "ord", "n").repartition(self.buckets, "route").withColumn("run", F.lit(run))
+        # The route has the head of the label: what is sent is the rest of it, beside the size in one number.
+        rest = 8 * (LABEL - HEAD)
+        sent = entries.select("route", F.shiftleft("label", 64 - rest).bitwiseOR(F.col("n").cast("bigint")).alias("rest"), "ord", "fours").repartition(self.buckets, "route")
+        label = F.shiftleft(F.col("route").bitwiseAND(F.lit((1 << 8 * HEAD) - 1)), rest).bitwiseOR(F.shiftrightunsigned("rest", 64 - rest))
+        by_bucket = sent.select("route", label.alias("label"), "ord", F.col("rest").bitwiseAND(F.lit((1 << 64 - rest) - 1)).cast("int").alias("n"), "fours", F.lit(run).alias("run"))
         by_bucket.write.format("parquet").mode("append").partitionBy("run").bucketBy(self.buckets, "route").sortBy("route", "label").option("path", f"{self.path}/entries").option("compression", "zstd").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
         own = self.spark.table(self.name).filter(F.col("run") == run)
@@ -375,7 +382,7 @@ class Forest:
     def entries(self) -> DataFrame:
         """Entries of all live runs, those of rejected texts among them."""
         if not self.runs:
-            return self.spark.createDataFrame([], _ENTRY + ", run int")
+            return self.spark.createDataFrame([], f"{_ENTRY}, {_LONG}, run int")
         return self.spark.table(self.name).filter(F.col("run").isin(list(self.runs) or [-1]))
 
     def texts(self) -> DataFrame:
@@ -449,12 +456,29 @@ def _sizes(threshold: float) -> Column:
     return F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n")
 
 
+def _agree(a: str, b: str) -> Column:
+    """Min-hash functions that agree, by four bits each; null if either has none."""
+    agree = F.lit(FUNCTIONS)
+    for k in range(FUNCTIONS // 16):
+        x = F.element_at(a, k + 1).bitwiseXOR(F.element_at(b, k + 1))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        agree = agree - F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return agree
+
+
+def _allowed(a: DataFrame, b: DataFrame, threshold: float, exact: bool) -> Column:
+    """Whether the set sizes of a pair (a, b) allow the threshold and, where both entries carry signatures, these do."""
+    if exact or "fours" not in a.columns or "fours" not in b.columns:
+        return _sizes(threshold)
+    return _sizes(threshold) & F.coalesce(_agree("a.fours", "b.fours") >= AGREE, F.lit(True))
+
+
 def lookups(entries: DataFrame, depth: int) -> DataFrame:
-    """(route, low, ord, n): where the label range begins that each entry looks for."""
-    return entries.select("route", _low(F.col("label"), depth).alias("low"), "ord", "n")
+    """(route, low, ord, n, fours if there): where the label range begins that each entry looks for."""
+    return entries.select("route", _low(F.col("label"), depth).alias("low"), "ord", "n", *(x for x in entries.columns if x == "fours"))
 
 
-def candidates(asked: DataFrame, entries: DataFrame, depth: int, threshold: float = THRESHOLD, before: DataFrame | None = None) -> DataFrame:
+def candidates(asked: DataFrame, entries: DataFrame, depth: int, threshold: float = THRESHOLD, before: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """(dup, kept): look-ups and the earlier entries within their ranges, each pair once; with ``before`` (ord, best) only entries below best."""
     a = (asked if before is None else asked.join(before, "ord", "left")).alias("a")
     b = entries.alias("b")
@@ -462,14 +486,14 @@ def candidates(asked: DataFrame, entries: DataFrame, depth: int, threshold: floa
     inside = (F.col("a.route") == F.col("b.route")) & F.col("b.label").between(F.col("a.low"), F.col("a.low") + width) & (F.col("b.ord") < F.col("a.ord"))
     if before is not None:
         inside = inside & (F.col("a.best").isNull() | (F.col("b.ord") < F.col("a.best")))
-    return b.join(a.hint("shuffle_hash"), inside & _sizes(threshold)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
+    return b.join(a.hint("shuffle_hash"), inside & _allowed(a, b, threshold, exact)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
 
 
-def meetings(asked: DataFrame, among: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def meetings(asked: DataFrame, among: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(dup, kept): look-ups of one delivery with the same range, each pair once, ``kept`` the earlier."""
     a, b = asked.alias("a"), among.alias("b")
     same = (F.col("a.route") == F.col("b.route")) & (F.col("a.low") == F.col("b.low")) & (F.col("b.ord") < F.col("a.ord"))
-    return a.join(b, same & _sizes(threshold)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
+    return a.join(b, same & _allowed(a, b, threshold, exact)).select(F.col("a.ord").alias("dup"), F.col("b.ord").alias("kept")).distinct()
 
 
 def alike(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame, step: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -485,13 +509,8 @@ def alike(pairs: DataFrame, dup_texts: DataFrame, kept_texts: DataFrame, step: C
     n = pairs.count()
     if not n:
         return pairs
-    agree = F.lit(FUNCTIONS)
-    for k in range(FUNCTIONS // 16):
-        x = F.element_at("a", k + 1).bitwiseXOR(F.element_at("b", k + 1))
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        agree = agree - F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
     # The smallest hashes are longer; they are sent for the pairs that are left only.
-    first = step(with_own(pairs, n, "fours").select("dup", "kept", agree.alias("agree")).filter(F.col("agree") >= AGREE))
+    first = step(with_own(pairs, n, "fours").select("dup", "kept", _agree("a", "b").alias("agree")).filter(F.col("agree") >= AGREE))
     common = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("a", "b")), 1, BOTTOM), F.array_intersect("a", "b")))
     long = (F.size("a") > 0) & (F.size("b") > 0)
     return with_own(first, first.count(), "bottom").filter(F.when(long, F.col("agree") + common >= BOTH).otherwise(True)).select("dup", "kept")
@@ -579,9 +598,11 @@ def _against_history(forest: Forest, asked: DataFrame, n: int, signed: DataFrame
     wide, best = forest.wide_ranges(depth), None
     if wide is not None:
         first = asked.join(wide, ["route", "low"]).select(F.col("ord").alias("dup"), F.col("leader").alias("kept")).distinct()
-        found = step(verified(step(accepted(first)), signed, forest.texts(), threshold))
+        first = step(accepted(first))
+        first = first if exact else step(alike(first, signed, forest.texts(), step))
+        found = step(verified(first, signed, forest.texts(), threshold))
         best = step(found.groupBy(F.col("dup").alias("ord")).agg(F.min("kept").alias("best")))
-    pairs = step(accepted(candidates(asked, old, depth, threshold, best)))
+    pairs = step(accepted(candidates(asked, old, depth, threshold, best, exact)))
     pairs = pairs if exact else step(alike(pairs, signed, forest.texts(), step))
     found = verified(pairs, signed, forest.texts(), threshold)
     if best is not None:
@@ -600,7 +621,7 @@ def _among_themselves(asked: DataFrame, signed: DataFrame, depth: int, threshold
     whole, gone = live, None
 
     def checked(asked: DataFrame, among: DataFrame) -> DataFrame:
-        met = step(meetings(asked, among, threshold))
+        met = step(meetings(asked, among, threshold, exact))
         return verified(met if exact else step(alike(met, signed, signed, step)), signed, signed, threshold)
 
     wide = ranges.filter(F.col("size") > WIDE)
@@ -612,6 +633,7 @@ def _among_themselves(asked: DataFrame, signed: DataFrame, depth: int, threshold
         sure = step(lead.join(not_sure, "ord", "left_anti"))
         follow = in_wide.filter(F.col("ord") > F.col("leader")).join(sure.select(F.col("ord").alias("leader")), "leader", "left_semi")
         pairs = step(follow.select(F.col("ord").alias("dup"), F.col("leader").alias("kept")).distinct())
+        pairs = pairs if exact else step(alike(pairs, signed, signed, step))
         repeat = step(verified(pairs, signed, signed, threshold).select(F.col("dup").alias("ord")).distinct())
         if repeat.isEmpty():
             break
