@@ -1,5 +1,6 @@
 """The whole job is done: nothing that a pattern or a model accepts is passed over."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,16 @@ def test_residue_of_two_kinds_is_covered_by_both():
     assert not any(judge.is_residue(p) for p in prose)
 
 
+def test_natural_model_has_every_sample(spark):
+    # The last texts in order count like the first, whatever their number.
+    texts = [f"matin calme numéro {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(5200)] + ["zebra wordless xylophone", "", "  ", None]
+    got = residue.fit(residue.read_prose(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)))
+    assert (got == residue.fit([t for t in texts if t])).sum() == (~np.isnan(got)).sum()
+    assert (~np.isnan(got)).sum() > (~np.isnan(residue.fit(texts[:5000]))).sum()
+    none = residue.read_prose(spark.createDataFrame([(None,)], "text string"))
+    assert not none.any() and np.array_equal(residue.fit(none), residue.fit([]), equal_nan=True)
+
+
 def _entry(route, label, ord_, n=100):
     return (route, label, ord_, n)
 

@@ -9,9 +9,9 @@ residue if that covers enough of what it says, navigation words left aside.
 Filler that says nothing in any language is marked in the same coverage: words
 of neighbouring keys, words of one letter, and one word again and again.
 
-The natural model is fit on the table of language samples (its size is fixed,
-at most ``MAX_SAMPLES`` rows) and on sentences that speak of such things; the
-others on ``residue_seeds``.  All text of all records is scored.
+The natural model is fit on all texts of the table of language samples, counted
+where they lie, and on sentences that speak of such things; the others on
+``residue_seeds``.  All text of all records is scored.
 
 Defined cases: null and blank texts are no residue; a table without samples
 leaves the natural model with its seeds; repeats are judged alike; extra
@@ -38,8 +38,6 @@ from .residue_seeds import KEYBOARDS, filler_seed, fillers, notices, spoken
 
 __all__ = ["NOTICES", "Judge", "exclude", "filler_seed", "fit", "flag", "is_residue", "read_prose"]
 
-#: Rows of the sample table that the natural model may be fit on.
-MAX_SAMPLES = 5_000
 #: Orders of the n-grams, the longest first, and the weight of a ratio by order.
 ORDERS, WEIGHTS = (4, 3), (1.0, 0.5)
 WINDOW = 20
@@ -98,12 +96,17 @@ def _counts(texts: list[str], n: int) -> np.ndarray:
     return total
 
 
-def fit(prose: list[str]) -> np.ndarray:
-    """(2 models, 2 orders, slots): log-likelihood ratios of notices and of filler against prose; nan where no model has seen the n-gram."""
-    natural_texts = [p for p in prose if p]
+def _all_counts(texts: list[str]) -> np.ndarray:
+    """(orders, slots) of texts."""
+    return np.stack([_counts(texts, n) for n in ORDERS])
+
+
+def fit(prose: list[str] | np.ndarray) -> np.ndarray:
+    """(2 models, 2 orders, slots): log-likelihood ratios of notices and of filler against prose (texts, or counts of ``read_prose``); nan where no model has seen the n-gram."""
+    counted = prose if isinstance(prose, np.ndarray) else _all_counts([p for p in prose if p])
     out = np.full((2, len(ORDERS), _SIZE), np.nan, dtype=np.float32)
     for k, n in enumerate(ORDERS):
-        own, about = _counts(natural_texts, n), _counts(spoken(), n)
+        own, about = counted[k], _counts(spoken(), n)
         # Sentences that speak of residue weigh as much as a notice that says the same.
         natural = 0.8 * own / max(1.0, own.sum()) + 0.2 * about / about.sum()
         # Square roots: a seed made by rule repeats its parts far more often than a writer would.
@@ -216,9 +219,20 @@ class Judge:
         return self.coverage(text) >= COVERAGE
 
 
-def read_prose(samples: DataFrame) -> list[str]:
-    """Texts of the sample table, at most ``MAX_SAMPLES``."""
-    return [r[0] for r in samples.select("text").filter("text is not null").orderBy("text").limit(MAX_SAMPLES).collect()]
+def read_prose(samples: DataFrame) -> np.ndarray:
+    """(orders, slots): n-gram counts of all texts of the sample table; only the slots' sums reach the driver, as many as there are at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(ORDERS), _SIZE))
+        for b in batches:
+            total += _all_counts(b.column(0).to_pylist())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], names=["at", "n"])
+
+    sums = samples.select("text").filter("text is not null").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(len(ORDERS) * _SIZE)
+    total[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return total.reshape(len(ORDERS), _SIZE)
 
 
 def flag(df: DataFrame, id_col: str, text_col: str, ratios: np.ndarray) -> DataFrame:
